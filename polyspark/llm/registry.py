@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .ngram_jaccard import op3_ngram_jaccard
+from .piece_bpe import op7_sentencepiece
 
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op7_sentencepiece": op7_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
