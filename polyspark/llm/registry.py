@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .license_scan import op5_license_scan
 from .ngram_jaccard import op3_ngram_jaccard
 from .piece_bpe import op7_sentencepiece
 
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_license_scan": op5_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
 }
 
