@@ -5,11 +5,13 @@ from __future__ import annotations
 from .license_scan import op5_license_scan
 from .ngram_jaccard import op3_ngram_jaccard
 from .piece_bpe import op7_sentencepiece
+from .secret_scan import op10_secret_scan
 
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_license_scan": op5_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
