@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_id import op8_language_id
 from .license_scan import op5_license_scan
 from .ngram_jaccard import op3_ngram_jaccard
 from .piece_bpe import op7_sentencepiece
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_license_scan": op5_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_language_id": op8_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
 
