@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op6_decontaminate
 from .language_id import op8_language_id
 from .license_scan import op5_license_scan
 from .ngram_jaccard import op3_ngram_jaccard
@@ -11,9 +13,12 @@ from .secret_scan import op10_secret_scan
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_license_scan": op5_license_scan,
+    "op6_decontaminate": op6_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": decontaminate.ORACLE_SQL,
+}
