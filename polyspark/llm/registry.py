@@ -9,8 +9,10 @@ from .license_scan import op5_license_scan
 from .ngram_jaccard import op3_ngram_jaccard
 from .piece_bpe import op7_sentencepiece
 from .secret_scan import op10_secret_scan
+from .suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
