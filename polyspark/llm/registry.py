@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontaminate
 from .decontaminate import op6_decontaminate
+from .embedding_dedup import op1_embedding_dedup
 from .language_id import op8_language_id
 from .license_scan import op5_license_scan
 from .ngram_jaccard import op3_ngram_jaccard
@@ -12,6 +13,7 @@ from .secret_scan import op10_secret_scan
 from .suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_license_scan": op5_license_scan,
