@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
+from . import domain, relational
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,3 +24,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where("n > 1")
         .orderBy("bucket", "event_type")
     )
+
+
+FLAGSHIP_SQL = """
+SELECT bucket, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM (SELECT epoch_us(ts) // 1000 - epoch_us(ts) // 1000 % 86400000 AS bucket, event_type, value FROM events)
+GROUP BY bucket, event_type HAVING count(*) > 1
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"daily_revenue": flagship} | relational.QUERIES | domain.QUERIES
+ORACLE_SQL: dict[str, str] = {"daily_revenue": FLAGSHIP_SQL} | relational.ORACLE_SQL | domain.ORACLE_SQL
