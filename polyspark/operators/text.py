@@ -23,7 +23,9 @@ def query_tokens(query: str) -> list[str]:
 def json_leaves(doc: Column | str) -> Column:
     """All string leaves of a JSON text, joined; what is not JSON counts as plain text."""
     doc = F.col(doc) if isinstance(doc, str) else doc
-    strings = F.regexp_extract_all(doc, F.lit(r'"((?:[^"\\]|\\.)*)"(?!\s*:)'), F.lit(1))
+    pattern = F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?')  # a string, and the colon that makes it a field name
+    parts = F.arrays_zip(F.regexp_extract_all(doc, pattern, F.lit(1)).alias("s"), F.regexp_extract_all(doc, pattern, F.lit(2)).alias("colon"))
+    strings = F.transform(F.filter(parts, lambda p: p["colon"] == ""), lambda p: p["s"])
     return F.when(F.try_parse_json(doc).isNull(), doc).otherwise(F.array_join(strings, " "))
 
 
