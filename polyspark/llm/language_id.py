@@ -208,7 +208,7 @@ def _predict(samples_of):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
             langs, scores = [], []
-            for i, j in tk.blocks(off):
+            for i, j in tk.blocks(off, 2 << 20):
                 if parser.langs:
                     a, b = parser.predict(texts[i:j])
                 else:

@@ -6,8 +6,9 @@ packed inverted index of the prefixes under the first order (rare tokens first);
 token under each of the other orders, and only what passes all of them is verified on the full sets.
 
 Nothing here makes all pairs of a group. In a group of documents with a common prefix token, each document is first
-compared with a leader of fitting size; links are united; only in groups that still hold several components are the pairs
-across components compared, so no link between components is lost and copies are never expanded.
+compared with a leader of fitting size; links are united; only groups that still hold several components go on, and only pairs across
+components are compared there, so no link between components is lost and copies are never expanded. Overlapping groups of
+that kind form a family, whose documents meet in one task; a family of more than ``MOST_FAMILY`` goes pair by pair instead.
 
 Nulls and edges: a null or empty text has an empty set and no link; null ids are ignored; repeated (id, text) rows count
 once; an empty table gives an empty result; other columns of the input are never read.
@@ -39,6 +40,8 @@ CELLS = 1 << 20
 BUCKET_POSTINGS, MOST_BUCKETS = 250_000, 1 << 16
 #: Groups up to this size are compared fully; larger ones by leader first, then across components.
 FULL_GROUP = 8
+#: Documents of a family of overlapping groups up to which one task compares them; a larger family goes pair by pair.
+MOST_FAMILY = 20_000
 ORDER_SEEDS = np.array([0x1B873593CC9E2D51, 0x52DCE729A0761D65, 0x38495AB5E7037ED1], dtype=np.uint64)
 
 
@@ -62,7 +65,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> list[
     for d in range(n_docs):
         a, b = bound[d], bound[d + 1]
         if b - a >= size:
-            out.append(np.unique(rolled[a : b - size + 1]))
+            out.append(tk.distinct(rolled[a : b - size + 1]))
         elif b > a:
             out.append(tk.mix(np.array([(h[a:b] * tk.SLOT[8 : 8 + b - a]).sum() + tk.U(b - a)], tk.U)))
         else:
@@ -146,6 +149,9 @@ def _postings(size: int, cells_of, buckets: int, num: int, den: int):
     return run
 
 
+CANDIDATE = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("grp", pa.int64()), ("at", pa.int64())])
+
+
 def _candidates(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         parts = [tk.unpack(x.as_py(), [np.uint32, np.int64, np.uint32, np.uint32]) for x in table.column("blob")]
@@ -168,7 +174,7 @@ def _candidates(num: int, den: int):
                 xs.append(i + p[ok])
                 ys.append(i + q[ok])
                 continue
-            gs.append(np.full(j - i, len(gs)))
+            gs.append(np.full(j - i, int.from_bytes(hashlib.blake2b(np.sort(ids[i:j]).tobytes(), digest_size=8).digest(), "little", signed=True)))
             gd.append(np.arange(i, j))
             lead = i
             while lead < j - 1:  # each leader takes the sets that its size fits
@@ -178,17 +184,24 @@ def _candidates(num: int, den: int):
                 xs.append(np.full(len(q), lead))
                 ys.append(q)
                 lead = max(upto, lead + 1)
-        out = {"x": [], "y": [], "grp": []}
+        pair = np.zeros((0, 2), np.int64)
         if xs and len(x := np.concatenate(xs)):
             y = np.concatenate(ys)
             pair = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
             pair = pair[pair[:, 0] != pair[:, 1]]
-            out = {"x": list(pair[:, 0]), "y": list(pair[:, 1]), "grp": [None] * len(pair)}
-        if gs:
-            bucket = table.column("bucket")[0].as_py()
-            g, k = np.concatenate(gs), np.concatenate(gd)
-            out = {"x": list(ids[k]) + out["x"], "y": list(n[k]) + out["y"], "grp": [(bucket << 24) + int(v) for v in g] + out["grp"]}
-        return pa.table(out, schema=pa.schema([("x", pa.int64()), ("y", pa.int64()), ("grp", pa.int64())]))
+        g, k = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (gs, gd))
+        first = np.lexsort((at[k], ids[k], g))  # a list that several tokens have counts once, with its earliest place
+        g, k = g[first], k[first]
+        keep = np.ones(len(k), bool)
+        keep[1:] = (g[1:] != g[:-1]) | (ids[k[1:]] != ids[k[:-1]])
+        g, k = g[keep], k[keep]
+        none = pa.nulls(len(pair), pa.int64())
+        return pa.concat_tables(
+            [
+                pa.table({"x": pair[:, 0], "y": pair[:, 1], "grp": none, "at": none}, schema=CANDIDATE),
+                pa.table({"x": ids[k], "y": n[k], "grp": g, "at": at[k]}, schema=CANDIDATE),
+            ]
+        )
 
     return run
 
@@ -197,14 +210,14 @@ def _cross(num: int, den: int):
     """Pairs of one group that lie in different components, by blocks; pairs inside a component need no check."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "comp"))
+        ids, n, at, comp = (table.column(c).to_numpy() for c in ("id", "n", "at", "comp"))
         order = np.argsort(n, kind="stable")
-        ids, n, comp = ids[order], n[order], comp[order]
+        ids, n, at, comp = ids[order], n[order], at[order], comp[order]
         xs, ys = [], []
         for i in range(len(ids) - 1):
             j = int(np.searchsorted(n, den * n[i] // num, "right"))
             q = np.arange(i + 1, j)
-            q = q[comp[q] != comp[i]]
+            q = q[(comp[q] != comp[i]) & (np.minimum(n[i] - at[i], n[q] - at[q]) >= -(-num * (n[i] + n[q]) // (num + den)))]
             xs.append(np.full(len(q), ids[i]))
             ys.append(ids[q])
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
@@ -213,6 +226,89 @@ def _cross(num: int, den: int):
     return run
 
 
+def _family(size: int, cells_of, num: int, den: int):
+    """All open pairs of one family of groups: each document once against its later partners, as marks over token numbers.
+
+    A document's tokens are marked in an array; the partners' marked tokens are summed. The same is done first with the
+    prefixes of the other orders, so a pair reaches the exact count only past every filter. United documents are skipped.
+    """
+
+    def run(groups: pa.Table, texts: pa.Table) -> pa.Table:
+        cells = np.frombuffer(zstandard.decompress(cells_of.value), np.uint8)
+        ids, first = np.unique(texts.column("id").to_numpy(), return_index=True)
+        comp = texts.column("comp").to_numpy()[first].copy()
+        z = texts.column("z")
+        sets = []
+        for i in first.tolist():
+            raw = np.frombuffer(zstandard.decompress(z[i].as_py()), np.uint8)
+            sets.append(shingle_sets(raw, np.array([0, len(raw)]), size)[0])
+        n = np.array([len(v) for v in sets], np.int64)
+        heads = [[ordered(v, cells, o)[: prefix_size(len(v), num, den)] for v in sets] for o in range(1, len(ORDER_SEEDS))]
+
+        def numbered(lists):
+            u, back = np.unique(np.concatenate(lists), return_inverse=True)
+            start = np.concatenate([[0], np.cumsum([len(v) for v in lists])])
+            return back, start, np.zeros(len(u), np.int32)
+
+        layers = [numbered(h) for h in heads] + [numbered(sets)]
+
+        def shared(layer, x, ys):
+            back, start, mark = layers[layer]
+            own = back[start[x] : start[x + 1]]
+            mark[own] = 1
+            length = start[ys + 1] - start[ys]
+            begin = np.cumsum(length) - length
+            at = np.arange(length.sum()) - np.repeat(begin, length) + np.repeat(start[ys], length)
+            out = np.add.reduceat(mark[back[at]], begin)
+            mark[own] = 0
+            return out
+
+        g = groups.column("grp").to_numpy()
+        d = np.searchsorted(ids, groups.column("id").to_numpy())
+        place = groups.column("at").to_numpy()
+        order = np.lexsort((d, g))
+        g, d, place = g[order], d[order], place[order]
+        a, b = tk.runs(g)
+        of_row = np.repeat(np.arange(len(a)), b - a)
+        by_doc = np.argsort(d, kind="stable")
+        doc_start = np.searchsorted(d[by_doc], np.arange(len(ids) + 1))
+        parent = {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        us, vs = [], []
+        for x in range(len(ids)):
+            rows = by_doc[doc_start[x] : doc_start[x + 1]]
+            ys = []
+            for r in rows.tolist():
+                q = np.arange(r + 1, b[of_row[r]])
+                least = -(-num * (n[x] + n[d[q]]) // (num + den))
+                ys.append(d[q[np.minimum(n[x] - place[r], n[d[q]] - place[q]) >= least]])
+            ys = np.unique(np.concatenate(ys)) if ys else np.zeros(0, np.int64)
+            ys = ys[(comp[ys] != comp[x]) & (den * np.minimum(n[ys], n[x]) >= num * np.maximum(n[ys], n[x]))]
+            own = root(int(comp[x]))
+            ys = ys[np.array([root(c) != own for c in comp[ys].tolist()], bool)]
+            for layer in range(len(heads)):
+                if len(ys):
+                    ys = ys[shared(layer, x, ys) > 0]
+            if not len(ys):
+                continue
+            both = shared(len(heads), x, ys)
+            for y in ys[den * both >= num * (n[x] + n[ys] - both)].tolist():
+                c1, c2 = root(int(comp[x])), root(int(comp[y]))
+                if c1 != c2:
+                    parent[max(c1, c2)] = min(c1, c2)
+                    us.append(int(ids[x]))
+                    vs.append(int(ids[y]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = tk.column_bytes(batch.column(1))
@@ -276,7 +372,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = features.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, min(MOST_BUCKETS, int(total * (1 - num / den)) // BUCKET_POSTINGS))
     index = rows.mapInArrow(_postings(size, cells_of, buckets, num, den), "bucket long, blob binary")
-    found = stash.put(index.groupBy("bucket").applyInArrow(_candidates(num, den), "x long, y long, grp long"))
+    found = stash.put(index.groupBy("bucket").applyInArrow(_candidates(num, den), "x long, y long, grp long, at long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
@@ -296,14 +392,26 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = verified(pairs).unionByName(copies)
     comp = connected_components(links, stash)
     # Groups that still span several components: compare across components only.
-    members = found.where("grp is not null").select(F.col("x").alias("id"), F.col("y").alias("n"), "grp").distinct()
-    members = members.join(comp.select(F.col("u").alias("id"), "v"), "id", "left").select("id", "n", "grp", F.coalesce("v", "id").alias("comp"))
-    open_groups = members.groupBy("grp").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("grp")
-    members = members.join(open_groups, "grp", "left_semi")
-    rest = stash.put(members.groupBy("grp").applyInArrow(_cross(num, den), "x long, y long").distinct().join(pairs, ["x", "y"], "left_anti"))
+    members = found.where("grp is not null").groupBy("grp", F.col("x").alias("id")).agg(F.first("y").alias("n"), F.min("at").alias("at"))
+    members = members.join(comp.select(F.col("u").alias("id"), "v"), "id", "left").select("grp", "id", "n", "at", F.coalesce("v", "id").alias("comp"))
+    members = stash.put(members)
+    heads = members.groupBy("grp").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("id").alias("head")).where("a <> b").select("grp", "head")
+    members = stash.put(members.join(heads, "grp"))
+    if members.isEmpty():
+        return features, comp
+    family = connected_components(members.select(F.col("id").alias("u"), F.col("head").alias("v")), stash)
+    family = family.select(F.col("u").alias("head"), F.col("v").alias("f"))
+    members = members.join(family, "head", "left").withColumn("family", F.coalesce("f", "head")).drop("f", "head")
+    wide = members.groupBy("family").agg(F.countDistinct("id").alias("docs")).where(f"docs > {MOST_FAMILY}").select("family")
+    members = stash.put(members.join(wide.withColumn("wide", F.lit(True)), "family", "left"))
+    narrow = members.where("wide is null")
+    texts = rows.mapInArrow(_squeezed, "id long, z binary").join(narrow.select("id", F.col("family").alias("of"), "comp").distinct(), "id")
+    more = narrow.select("family", "grp", "id", "at").groupBy("family").cogroup(texts.groupBy("of")).applyInArrow(_family(size, cells_of, num, den), "u long, v long")
+    more = stash.put(more)
+    rest = stash.put(members.where("wide").groupBy("grp").applyInArrow(_cross(num, den), "x long, y long").distinct().join(pairs, ["x", "y"], "left_anti"))
     if not rest.isEmpty():
-        comp = connected_components(verified(rest).unionByName(comp), stash)
-    return features, comp
+        more = more.unionByName(verified(rest))
+    return features, connected_components(more.unionByName(comp), stash)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:

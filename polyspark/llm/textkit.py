@@ -14,7 +14,8 @@ import pyarrow.compute as pc
 import zstandard
 
 U = np.uint64
-BLOCK = 2 << 20
+#: Bytes of documents that are taken at once: arrays of 8 bytes for each then stay near the processor.
+BLOCK = 512 << 10
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -93,6 +94,12 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.
     return mix(np.add.reduceat(value, first) + size.astype(U)), ws, we, doc
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of each run of equal keys."""
     if not len(sorted_keys):
