@@ -378,3 +378,15 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Brute force over all pairs of a label.
+ORACLE_SQL = """
+WITH RECURSIVE w AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (SELECT * FROM (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM w) WHERE n > 0
+), l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), r(u, c) AS (SELECT u, u FROM l UNION SELECT l.v, r.c FROM r JOIN l ON r.u = l.u)
+SELECT e.vec_id, coalesce(k, 0) AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT u, count(*) AS k FROM l GROUP BY u) n ON n.u = e.vec_id LEFT JOIN (SELECT u, min(c) AS c FROM r GROUP BY u) m ON m.u = e.vec_id
+"""

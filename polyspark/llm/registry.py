@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, embedding_dedup, ngram_jaccard, secret_scan
 from .decontaminate import op6_decontaminate
 from .embedding_dedup import op1_embedding_dedup
 from .html_extract import op9_html_extract
@@ -28,5 +28,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op3_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
     "op6_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_secret_scan": secret_scan.ORACLE_SQL,
 }
