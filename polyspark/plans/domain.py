@@ -168,15 +168,15 @@ def _vectors(spark, d):
 
 
 def l2_topk(spark, d):
-    return vector.vector_search(_vectors(spark, d), "embedding", F.col("q"), "vec_id", 10, "l2").select("vec_id", F.round("distance", 6).alias("distance"))
+    return vector.vector_search(_vectors(spark, d), "embedding", F.col("q"), "vec_id", 10, "l2").select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 def cosine_topk(spark, d):
-    return vector.vector_search(_vectors(spark, d), "embedding", F.col("q"), "vec_id", 10, "cosine").select("vec_id", F.round("distance", 6).alias("distance"))
+    return vector.vector_search(_vectors(spark, d), "embedding", F.col("q"), "vec_id", 10, "cosine").select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 def dot_product(spark, d):
-    return _vectors(spark, d).select("vec_id", F.round(vector.dot_product("embedding", "q"), 6).alias("dot"), vector.vector_dims("embedding").cast("long").alias("dims"))
+    return _vectors(spark, d).select("vec_id", (F.round(vector.dot_product("embedding", "q"), 6) + 0.0).alias("dot"), vector.vector_dims("embedding").cast("long").alias("dims"))
 
 
 def hybrid_rrf(spark, d):
@@ -362,7 +362,7 @@ def row_checksum_verify(spark, d):
 
 def agent_recall(spark, d):
     m = _vectors(spark, d).select(F.col("vec_id").alias("id"), F.concat(F.lit("a"), F.col("label")).alias("agent_id"), F.lit("semantic").alias("tier"), F.concat(F.lit("m"), F.col("vec_id")).alias("content"), "embedding", "q")
-    return agent.recall_semantic(m, "a3", F.col("q"), 5).select("id", "content", F.round("distance", 6).alias("distance"))
+    return agent.recall_semantic(m, "a3", F.col("q"), 5).select("id", "content", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 def agent_metrics(spark, d):
@@ -443,9 +443,9 @@ ORACLE_SQL = {
     "pipeline_project": "SELECT o_orderkey, o_totalprice AS price, 'top' AS tag FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 3",
     "fts_and": f"SELECT doc_id FROM (SELECT doc_id, {TOKENS} AS ws FROM documents) WHERE list_contains(ws, 'the') AND list_contains(ws, 'and') AND list_contains(ws, 'of')",
     "bm25": "WITH " + _BM % "('license', 2), ('the', 1), ('password', 1)" + "SELECT doc_id, round(score, 6) AS score FROM b",
-    "l2_topk": f"WITH {_V}, x AS (SELECT vec_id, {_L2} AS far FROM v) SELECT vec_id, round(far, 6) AS distance FROM x ORDER BY far, vec_id LIMIT 10",
-    "cosine_topk": f"WITH {_V}, x AS (SELECT vec_id, 1 - {_DOT} / ({_N1} * {_N2}) AS far FROM v) SELECT vec_id, round(far, 6) AS distance FROM x ORDER BY far, vec_id LIMIT 10",
-    "dot_product": f"WITH {_V} SELECT vec_id, round({_DOT}, 6) AS dot, CAST(len(embedding) AS BIGINT) AS dims FROM v",
+    "l2_topk": f"WITH {_V}, x AS (SELECT vec_id, {_L2} AS far FROM v) SELECT vec_id, round(far, 6) + 0.0 AS distance FROM x ORDER BY far, vec_id LIMIT 10",
+    "cosine_topk": f"WITH {_V}, x AS (SELECT vec_id, 1 - {_DOT} / ({_N1} * {_N2}) AS far FROM v) SELECT vec_id, round(far, 6) + 0.0 AS distance FROM x ORDER BY far, vec_id LIMIT 10",
+    "dot_product": f"WITH {_V} SELECT vec_id, round({_DOT}, 6) + 0.0 AS dot, CAST(len(embedding) AS BIGINT) AS dims FROM v",
     "hybrid_rrf": f"""WITH {_V}, x AS (SELECT vec_id AS doc_id, {_L2} AS far FROM v), j AS (SELECT doc_id, text, far FROM documents JOIN x USING (doc_id)),
 """ + (_BM % "('license', 1), ('password', 1)").replace("FROM documents", "FROM j") + """,
  a AS (SELECT doc_id, far, row_number() OVER (ORDER BY far, doc_id) AS r FROM j QUALIFY r <= 50), c AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b QUALIFY r <= 50),
@@ -482,7 +482,7 @@ ORACLE_SQL = {
     "analyze_stats": "SELECT 'n_nationkey' AS \"column\", count(*) AS rows, count(DISTINCT n_nationkey) AS \"distinct\" FROM nation UNION ALL SELECT 'n_name', count(*), count(DISTINCT n_name) FROM nation UNION ALL SELECT 'n_regionkey', count(*), count(DISTINCT n_regionkey) FROM nation",
     "value_histogram": "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
     "row_checksum_verify": "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM customer WHERE c_custkey % 10 = 0 OR (c_custkey % 9 = 0 AND c_acctbal <> 0)",
-    "agent_recall": f"WITH {_V}, x AS (SELECT vec_id, 1 - {_DOT} / ({_N1} * {_N2}) AS far FROM v WHERE label = 3) SELECT vec_id AS id, 'm' || vec_id AS content, round(far, 6) AS distance FROM x ORDER BY far, vec_id LIMIT 5",
+    "agent_recall": f"WITH {_V}, x AS (SELECT vec_id, 1 - {_DOT} / ({_N1} * {_N2}) AS far FROM v WHERE label = 3) SELECT vec_id AS id, 'm' || vec_id AS content, round(far, 6) + 0.0 AS distance FROM x ORDER BY far, vec_id LIMIT 5",
     "agent_metrics": "SELECT user_id AS agent_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM events GROUP BY 1",
     "latency_rollup": f"WITH {METRICS} SELECT user_id AS agent_id, ts - ts % {DAY} AS bucket, count(value) AS count, min(value) AS min, max(value) AS max FROM m GROUP BY 1, 2",
     "audit_chain": "WITH f AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY 1) SELECT c.conv_id AS session_id, c.turn AS seq, sha256('|' || c.turn || '|' || c.turn || '|' || role || '|say|' || length(text)) AS hash FROM conversations c JOIN f ON c.conv_id = f.conv_id AND c.turn = f.turn",
