@@ -9,7 +9,7 @@ stand. The windows of one anchor occurrence make a context, one stretch of bytes
    document has end here, and with them all text that occurs once.
 2. Contexts of the remaining anchors go to buckets by anchor. Equal contexts within a pack are settled on the spot, so
    of a group of copies each pack sends one.
-3. Each bucket builds a run-compressed Burrows-Wheeler index of its distinct contexts (bounded to LENGTH bytes, ties in
+3. Each bucket builds a run-compressed Burrows-Wheeler index of the distinct contexts (bounded to LENGTH bytes, ties in
    document order), with the positions at run ends and block heads sampled, streams the capped matching statistics of all
    contexts against documents with smaller ids, and marks what reaches LENGTH.
 
@@ -37,6 +37,8 @@ from .stash import Stash
 LENGTH = 50
 ANCHOR = 16
 PACK_BYTES = 4 << 20
+#: Bytes of documents that are scanned at once, so that the arrays of a scan stay in the processor's cache.
+SCAN_BYTES = 256 << 10
 #: Packs for each bucket, and the most buckets.
 PACKS_A_BUCKET, MOST_BUCKETS = 3, 4096
 
@@ -71,30 +73,31 @@ class Contexts:
         if len(buf) < length or not (np.diff(off) >= length).any():
             return
         x = self.x = _loads(buf)
-        h = tk.mix(x[: len(buf) - ANCHOR + 1] * tk.SLOT[20] + tk.mix(x[8 : len(buf) - ANCHOR + 9]) * tk.SLOT[21])
+        h = x[:-8] * tk.SLOT[20]
+        h += x[8:] * tk.SLOT[21]
+        h ^= h >> tk.U(32)
+        h *= tk.STEP
+        h ^= h >> tk.U(29)
         w = length - ANCHOR + 1
         m = _sliding(np.minimum, h, w)
         pad = np.zeros(w - 1, tk.U)
-        chosen = h == _sliding(np.maximum, np.concatenate([pad, m, pad]), w)
-        sel = np.flatnonzero(chosen)
-        valid = np.zeros(len(buf) + 1, np.int32)
-        long = np.flatnonzero(np.diff(off) >= length)
-        np.add.at(valid, off[long], 1)
-        np.add.at(valid, off[long + 1] - length + 1, -1)
-        p = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
-        before = np.cumsum(chosen)
-        j = np.where(p > 0, before[p - 1], 0)
-        want = m[p]
-        todo = np.flatnonzero(h[sel[j]] != want)
-        while len(todo):
-            j[todo] += 1
-            todo = todo[h[sel[j[todo]]] != want[todo]]
-        q = sel[j]
-        cut = np.flatnonzero((q[1:] != q[:-1]) | (p[1:] != p[:-1] + 1)) + 1
-        a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(p)]]) - 1
-        self.p0, self.p1, self.q = p[a], p[b], q[a]
-        self.key = h[self.q]
-        self.doc = np.searchsorted(off, self.p0, "right") - 1
+        q = np.flatnonzero(h == _sliding(np.maximum, np.concatenate([pad, m, pad]), w))
+        # An anchor takes over when it enters the windows, if it is smaller than the one before, else when that one leaves.
+        key = h[q]
+        start = np.zeros(len(q), np.int64)
+        start[1:] = np.where(key[1:] < key[:-1], q[1:] - w + 1, q[:-1] + 1)
+        np.maximum(start, 0, out=start)
+        stop = np.append(start[1:] - 1, len(buf) - length)
+        stop = np.minimum(stop, q)
+        # Windows that would run over a document's end belong to no context; a context lies in one document.
+        doc = np.searchsorted(off, start, "right") - 1
+        late = start > off[doc + 1] - length
+        long = np.append(np.flatnonzero(np.diff(off) >= length), len(off) - 2)
+        after = long[np.minimum(np.searchsorted(long, doc, "right"), len(long) - 1)]
+        start, doc = np.where(late, np.maximum(off[after], start), start), np.where(late, after, doc)
+        stop = np.minimum(stop, off[doc + 1] - length)
+        fine = start <= stop
+        self.p0, self.p1, self.q, self.key, self.doc = start[fine], stop[fine], q[fine], key[fine], doc[fine]
 
     def window_hash(self, p: np.ndarray) -> np.ndarray:
         out = np.zeros(len(p), tk.U)
@@ -192,8 +195,8 @@ def _anchor_lists(buckets: int):
         for batch in batches:
             for pack, docs, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 ids, off, buf = _open(docs, data)
-                keys = [c.key >> tk.U(16) for i, j in tk.blocks(off) for c in [Contexts(buf[off[i] : off[j]], off[i : j + 1] - off[i])]]
-                key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, tk.U)
+                keys = [c.key >> tk.U(16) for i, j in tk.blocks(off, SCAN_BYTES) for c in [Contexts(buf[off[i] : off[j]], off[i : j + 1] - off[i])]]
+                key = tk.distinct(np.concatenate(keys)) if keys else np.zeros(0, tk.U)
                 if not len(key):
                     continue
                 home = (key >> tk.U(36)).astype(np.int64) % buckets  # key has 48 bits
@@ -242,13 +245,13 @@ def _contexts(buckets: int):
                 ids, off, buf = _open(docs, data)
                 key, content, doc, p0, anchor, count, raw = [], [], [], [], [], [], []
                 found = []
-                for i, j in tk.blocks(off):
+                for i, j in tk.blocks(off, SCAN_BYTES):
                     found.append((i, off[i], Contexts(buf[off[i] : off[j]], off[i : j + 1] - off[i])))
                 if not found:
                     continue
                 every = np.concatenate([c.key >> tk.U(16) for _, _, c in found])
                 own = np.concatenate([c.doc + i for i, _, c in found])
-                sent = np.unique(every)
+                sent = tk.distinct(every)
                 home = (sent >> tk.U(36)).astype(np.int64) % buckets
                 shared = np.zeros(len(sent), bool)
                 for b in bits or []:
@@ -283,7 +286,7 @@ def _contexts(buckets: int):
                 copy = ident > least
                 local = p0 - off[doc]
                 if copy.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([-1], pa.int64()), pa.array([pack], pa.int64()), pa.array([tk.pack([doc[copy].astype(np.int32), local[copy].astype(np.int32), count[copy].astype(np.uint8)])], pa.binary())], ["kind", "bucket", "pack", "blob"])
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([pack % buckets], pa.int64()), pa.array([pack], pa.int64()), pa.array([tk.pack([doc[copy].astype(np.int32), local[copy].astype(np.int32), count[copy].astype(np.uint8)])], pa.binary())], ["kind", "bucket", "pack", "blob"])
                 k = np.flatnonzero(~copy)
                 goes = ((key[k] >> tk.U(16)) % tk.U(buckets)).astype(np.int64)
                 k = k[np.argsort(goes, kind="stable")]
@@ -304,12 +307,16 @@ def _contexts(buckets: int):
 
 def _mark(table: pa.Table) -> pa.Table:
     """Spans of one bucket's contexts that documents with smaller ids have, by pack."""
+    kind = table.column("kind").to_numpy()
+    settled = table.filter(pa.array(kind == 1)).select(["pack", "blob"])
     cols, texts = [], []
-    for b in table.column("blob"):
+    for b in table.column("blob").filter(pa.array(kind == 0)):
         b = b.as_py()
         n = int(np.frombuffer(b, np.int64, 1)[0])
         cols.append(tk.unpack(b[8 : 8 + n], CONTEXT_TYPES))
         texts.append(np.frombuffer(zstandard.decompress(b[8 + n :]), np.uint8))
+    if not cols:
+        return settled
     key, content, ident, pack, doc, local, anchor, count = (np.concatenate(x) for x in zip(*cols))
     text = np.concatenate(texts)
     size = count.astype(np.int64) + LENGTH - 1
@@ -353,7 +360,7 @@ def _mark(table: pa.Table) -> pa.Table:
     row, shift, n = row[by], shift[by], n[by]
     a, b = tk.runs(pack[row])
     blobs = [tk.pack([doc[row[i:j]], (local[row[i:j]] + shift[i:j]).astype(np.int32), n[i:j].astype(np.uint8)]) for i, j in zip(a, b)]
-    return pa.table({"pack": pa.array(pack[row[a]], pa.int64()), "blob": pa.array(blobs, pa.binary())})
+    return pa.concat_tables([settled, pa.table({"pack": pa.array(pack[row[a]], pa.int64()), "blob": pa.array(blobs, pa.binary())})])
 
 
 def _cut(with_text: bool):
@@ -402,9 +409,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = lists.groupBy("bucket").applyInArrow(_repeated, "pack long, bucket long, bits binary")
     shared = shared.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
     sent = packs.join(shared, "pack", "left").select("pack", "docs", "data", "bits").mapInArrow(_contexts(buckets), "kind int, bucket long, pack long, blob binary")
-    sent = stash.put(sent)
-    marks = sent.where("kind = 0").groupBy("bucket").applyInArrow(_mark, "pack long, blob binary")
-    marks = marks.unionByName(sent.where("kind = 1").select("pack", "blob")).groupBy("pack").agg(F.collect_list("blob").alias("blobs"))
+    marks = sent.groupBy("bucket").applyInArrow(_mark, "pack long, blob binary").groupBy("pack").agg(F.collect_list("blob").alias("blobs"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return packs.join(marks, "pack", "left").select("docs", "data", "blobs").mapInArrow(_cut(with_text), schema)
 
