@@ -9,7 +9,7 @@ stand. The windows of one anchor occurrence make a context, one stretch of bytes
    document has end here, and with them all text that occurs once.
 2. Contexts of the remaining anchors go to buckets by anchor. Equal contexts within a pack are settled on the spot, so
    of a group of copies each pack sends one.
-3. Each bucket builds a run-compressed Burrows-Wheeler index of the distinct contexts (bounded to LENGTH bytes, ties in
+3. Each bucket builds, anchor range by anchor range, a run-compressed Burrows-Wheeler index of the distinct contexts (bounded to LENGTH bytes, ties in
    document order), with the positions at run ends and block heads sampled, streams the capped matching statistics of all
    contexts against documents with smaller ids, and marks what reaches LENGTH.
 
@@ -39,6 +39,8 @@ ANCHOR = 16
 PACK_BYTES = 4 << 20
 #: Bytes of documents that are scanned at once, so that the arrays of a scan stay in the processor's cache.
 SCAN_BYTES = 256 << 10
+#: Bytes of contexts in one index (more only where one anchor has more).
+INDEX_BYTES = 2 << 20
 #: Packs for each bucket, and the most buckets.
 PACKS_A_BUCKET, MOST_BUCKETS = 3, 4096
 
@@ -305,6 +307,19 @@ def _contexts(buckets: int):
     return run
 
 
+def _slices(key: np.ndarray, size: np.ndarray) -> Iterator[slice]:
+    """Stretches of sorted anchors with about INDEX_BYTES of contexts; an anchor's contexts stay together."""
+    a, b = tk.runs(key)
+    total = np.cumsum(size)
+    at = 0
+    while at < len(key):
+        least = total[at - 1] if at else 0
+        k = int(np.searchsorted(total, least + INDEX_BYTES, "right"))
+        k = int(b[min(np.searchsorted(b, max(k, at + 1), "left"), len(b) - 1)])
+        yield slice(at, k)
+        at = k
+
+
 def _mark(table: pa.Table) -> pa.Table:
     """Spans of one bucket's contexts that documents with smaller ids have, by pack."""
     kind = table.column("kind").to_numpy()
@@ -333,28 +348,30 @@ def _mark(table: pa.Table) -> pa.Table:
     a, b = tk.runs(key[head])
     several = np.repeat(b - a > 1, b - a)
     rep = head[several]
-    if len(rep):
-        src = order[rep]
+    members = np.flatnonzero(~whole)
+    m_group = group[members]
+    for part in _slices(key[rep], size[order[rep]]):
+        own = rep[part]
+        src = order[own]
         n = size[src]
         start = np.cumsum(n) - n
         joined = text[np.arange(n.sum()) - np.repeat(start, n) + np.repeat(first[src], n)]
-        at, long = RunLengthIndex(joined, start, ident[rep], LENGTH).matching_statistics()
+        at, long = RunLengthIndex(joined, start, ident[own], LENGTH).matching_statistics()
         at = np.sort(at[long])
+        if not len(at):
+            continue
         owner = np.searchsorted(start, at, "right") - 1
         cut = np.flatnonzero((at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])) + 1
         s, e = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
-        if len(at):
-            o = owner[s]
-            lo, hi = at[s] - start[o], at[e] - start[o] + 1
-            # The context's other occurrences in its own document share the marks; those in larger documents are whole already.
-            members = np.flatnonzero(~whole)
-            m_group = group[members]
-            g = group[rep][o]
-            i, j = np.searchsorted(m_group, g, "left"), np.searchsorted(m_group, g, "right")
-            reps = j - i
-            which = np.repeat(np.arange(len(g)), reps)
-            pos = members[np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(i, reps)]
-            spans.append((order[pos], lo[which], (hi - lo)[which]))
+        o = owner[s]
+        lo, hi = at[s] - start[o], at[e] - start[o] + 1
+        # The context's other occurrences in its own document share the marks; those in larger documents are whole already.
+        g = group[own][o]
+        i, j = np.searchsorted(m_group, g, "left"), np.searchsorted(m_group, g, "right")
+        reps = j - i
+        which = np.repeat(np.arange(len(g)), reps)
+        pos = members[np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(i, reps)]
+        spans.append((order[pos], lo[which], (hi - lo)[which]))
     row, shift, n = (np.concatenate(x) for x in zip(*spans))
     by = np.argsort(pack[row], kind="stable")
     row, shift, n = row[by], shift[by], n[by]
