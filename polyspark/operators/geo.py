@@ -374,3 +374,61 @@ def hex_ring(cell: Column, k: int) -> Column:
     """All cells at most k steps away."""
     moves = [(q, r) for q in range(-k, k + 1) for r in range(max(-k, -q - k), min(k, -q + k) + 1)]
     return F.array(*(F.struct((cell["q"] + q).alias("q"), (cell["r"] + r).alias("r")) for q, r in moves))
+
+
+def project(lon, lat, width: float, height: float):
+    """Equirectangular place on a map of the given size: (x, y) from the upper left."""
+    return (_c(lon) + 180) / 360 * width, (90 - _c(lat)) / 180 * height
+
+
+# Cells on the faces of a cube round the globe: 3 bits of face, 5 of level, 28 each of column and row.
+
+CUBE_LEVELS = 24
+
+
+def cube_cell(lon, lat, level: int) -> Column:
+    """The id of the cell of a level (2^level columns and rows a face) that holds a place."""
+    lo, la = F.radians(_c(lon)), F.radians(_c(lat))
+    x, y, z = F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)
+    ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
+    on_x, on_y = (ax >= ay) & (ax >= az), (ay >= az)
+    face = F.when(on_x, F.when(x > 0, 0).otherwise(3)).when(on_y, F.when(y > 0, 1).otherwise(4)).otherwise(F.when(z > 0, 2).otherwise(5))
+    u = F.when(on_x, y / ax).when(on_y, x / ay).otherwise(x / az)
+    v = F.when(on_x, z / ax).when(on_y, z / ay).otherwise(y / az)
+    n = 1 << level
+    grid = lambda w: F.least(F.greatest(F.floor((w + 1) / 2 * n), F.lit(0)), F.lit(n - 1)).cast("long")
+    return _cube_id(face.cast("long"), F.lit(level), grid(u), grid(v))
+
+
+def _cube_id(face: Column, level: Column, i: Column, j: Column) -> Column:
+    return F.shiftleft(face, 61).bitwiseOR(F.shiftleft(level.cast("long"), 56)).bitwiseOR(F.shiftleft(i, 28)).bitwiseOR(j)
+
+
+def _cube_parts(cell: Column):
+    ones = (1 << 28) - 1
+    return F.shiftrightunsigned(cell, 61), F.shiftright(cell, 56).bitwiseAND(31), F.shiftright(cell, 28).bitwiseAND(ones), cell.bitwiseAND(ones)
+
+
+def cube_ancestor(cell: Column, level: int) -> Column:
+    """The cell of a coarser level that holds this one."""
+    face, own, i, j = _cube_parts(cell)
+    up = (own - level).cast("int")
+    div = lambda w: F.floor(w / F.pow(F.lit(2.0), up)).cast("long")
+    return _cube_id(face, F.lit(level), div(i), div(j))
+
+
+def cube_neighborhood(cell: Column) -> Column:
+    """The cell and those round it on its face, nine at most."""
+    face, level, i, j = _cube_parts(cell)
+    last = F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2.0), level).cast("long") - 1
+    moves = F.array(*(F.struct((i + a).alias("i"), (j + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    inside = F.filter(moves, lambda m: m["i"].between(0, last) & m["j"].between(0, last))
+    return F.transform(inside, lambda m: _cube_id(face, level, m["i"], m["j"]))
+
+
+def cube_level_for_radius(metres: float) -> int:
+    """The finest level whose cells are everywhere at least as wide as the radius (a face's cells shrink to half at its corners)."""
+    level = 0
+    while level < CUBE_LEVELS and EARTH_M * 2 / (1 << (level + 1)) / 3 >= metres:
+        level += 1
+    return level

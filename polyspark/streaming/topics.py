@@ -86,3 +86,16 @@ def change_feed(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A topic's folder as a live stream with an event-time column ``timestamp``."""
     return spark.readStream.schema(RECORD).parquet(path).withColumn("timestamp", F.timestamp_millis("timestamp_ms"))
+
+
+def subscribe(stream: DataFrame, handler, checkpoint: str, available_now: bool = False):
+    """Push each new batch of records to ``handler(df, batch_id)``; offsets live in the checkpoint folder (at least once)."""
+    writer = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_kafka(spark: SparkSession, servers: str, topic: str, live: bool = True, **options) -> DataFrame:
+    """A Kafka topic in the record shape used here (the connector's jar must be on the class path)."""
+    reader = (spark.readStream if live else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options)
+    key, value = F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")
+    return reader.load().select("topic", "partition", "offset", key, value, F.unix_millis("timestamp").alias("timestamp_ms"))

@@ -228,3 +228,63 @@ def test_functions(spark):
     assert tuple(got) == (3_600_000, 5.0, 0.0, True)
     create_function(spark, "twice", "int8", lambda s: s * 2)
     assert spark.sql("SELECT twice(21L) AS x").first().x == 42
+
+
+def test_declared_tables(spark, tmp_path):
+    from polyspark.operators.ddl import ConstraintError, Table
+    from polyspark.sources import catalogs
+
+    root = f"file://{tmp_path}"
+    feed = topics.Topic(spark, root, "cdc")
+    parent = Table(spark, root, "parent", "id int, name string", primary_key=["id"])
+    child = Table(spark, root, "child", "id int, p int, j string", primary_key=["id"], defaults={"j": "{}"}, json_schemas={"j": ({"type": "object"}, "strict")}, cdc=feed).references("p", parent, "id")
+    parent.insert(spark.createDataFrame([(1, "a"), (2, "b")], parent.schema))
+    child.insert(spark.createDataFrame([(10, 1), (11, None)], "id int, p int"))
+    for bad in ([(10, 1, "{}")], [(12, 9, "{}")], [(None, 1, "{}")], [(13, 1, "[]")]):
+        with pytest.raises(ConstraintError):
+            child.insert(spark.createDataFrame(bad, child.schema))
+    child.update("id = 11", p="2")
+    child.upsert(spark.createDataFrame([(10, 2, "{}"), (14, 1, "{}")], child.schema))
+    child.delete("id = 14")
+    assert values(child.read(), "id", "p", "j") == [(10, 2, "{}"), (11, 2, "{}")]
+    ops = feed.read().select(F.get_json_object("value", "$.op").alias("op")).groupBy("op").count()
+    assert dict(values(ops, "op", "count")) == {"insert": 3, "update": 2, "delete": 1}
+    child.add_column("extra", "int", 7)
+    child.create_index("by_p", "p", method="graph", to="id")
+    assert values(child.read(), "extra") == [7, 7]
+    child.drop_column("extra")
+    assert child.read().columns == ["id", "p", "j"]
+    assert values(catalogs.pg_constraint(spark, [parent, child]).where("contype = 'f'"), "confrelname") == ["parent"]
+    assert "pg_type" in catalogs.register_views(spark, [child]) and spark.sql("SELECT indexdef FROM pg_indexes").first()[0] == "graph (p)"
+
+
+def test_describe(spark):
+    from polyspark.plans import describe
+
+    spark.createDataFrame([(1, "a"), (2, "a")], "id int, v string").createOrReplaceTempView("seen")
+    assert "seen" in describe.list_tables(spark) and describe.list_columns(spark, "seen")[1] == ("v", "string")
+    assert describe.schema(spark, "seen")["v"]["top"] == [("a", 2)]
+    assert describe.query(spark, "SELECT count(*) AS n FROM seen") == [{"n": 2}]
+    assert "Scan" in describe.explain(spark.table("seen").where("id = 1")) or "LocalTableScan" in describe.explain(spark.table("seen"))
+    with pytest.raises(ValueError):
+        describe.query(spark, "DROP TABLE seen")
+    register_all(spark)
+    assert sql(spark, """SELECT '{"a":1}' @> '{"a":1}' AS y""").first().y
+
+
+def test_cube_cells(spark):
+    pts = spark.createDataFrame([(float(x), float(y)) for x in range(-180, 180, 17) for y in range(-90, 91, 15)], "x double, y double")
+    c = pts.select(geo.cube_cell("x", "y", 8).alias("fine"), geo.cube_cell("x", "y", 5).alias("coarse"))
+    assert c.where(geo.cube_ancestor(F.col("fine"), 5) != F.col("coarse")).count() == 0
+    assert c.where(~F.array_contains(geo.cube_neighborhood(F.col("fine")), F.col("fine"))).count() == 0
+    assert values(c.select(F.size(geo.cube_neighborhood(F.col("fine"))).alias("n")).distinct(), "n")[-1] == 9
+    assert geo.cube_level_for_radius(1000) > geo.cube_level_for_radius(100_000)
+
+
+def test_subscribe(spark, tmp_path):
+    t = topics.Topic(spark, f"file://{tmp_path}", "pushed")
+    t.publish(spark.createDataFrame([("a", "1")], "key string, value string"))
+    got = []
+    q = topics.subscribe(topics.read_stream(spark, t.path), lambda df, i: got.extend(r.value for r in df.collect()), f"file://{tmp_path}/ck", available_now=True)
+    q.awaitTermination()
+    assert got == ["1"]
