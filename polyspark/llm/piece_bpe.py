@@ -30,7 +30,9 @@ from . import textkit as tk
 SPACE = "▁"
 NO_PAIR = np.int64(1) << 40
 #: Distinct words whose encoding a task keeps; beyond that it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
+#: Bytes of text that are encoded at once.
+BLOCK_BYTES = 8 << 20
 
 
 class PieceModel:
@@ -232,6 +234,19 @@ def _with_prefix(col) -> tuple[np.ndarray, np.ndarray]:
     return tk.column_bytes(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), col, pa.scalar("", pa.large_string())))
 
 
+def _ids_column(word: np.ndarray, size: np.ndarray, flat: np.ndarray, count: np.ndarray, end: int) -> pa.Array:
+    """Lists of ids: the words' ids one after another, and the end id after each text's last."""
+    begin = np.cumsum(size) - size
+    n = size[word]
+    ids = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[word], n)]
+    bound = np.concatenate([[0], np.cumsum(count)])
+    out = np.full(bound[-1], end, np.int32)
+    own = np.ones(bound[-1], bool)
+    own[bound[1:] - 1] = False
+    out[own] = ids
+    return pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(out))
+
+
 def encoded(model_path: str, with_ids: bool):
     """For mapInArrow over (id, text): id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids."""
 
@@ -242,34 +257,33 @@ def encoded(model_path: str, with_ids: bool):
         shown: list[str] = []
         plain: list[bytes] = []
         size, age = np.zeros(0, np.int64), 0
+        flat = np.zeros(0, np.int32)
         for batch in batches:
             buf, off = _with_prefix(batch.column(1))
-            ids, count, sha, back = [], [], [], []
-            for i, j in tk.blocks(off, 8 << 20):
+            for i, j in tk.blocks(off, BLOCK_BYTES):  # a row batch for each block: results never pile up
                 word, bound = enc.words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 if enc.age != age:
-                    shown, plain, size, age = [], [], size[:0], enc.age
+                    shown, plain, size, flat, age = [], [], size[:0], flat[:0], enc.age
                 fresh = enc.ids[len(shown) :]
                 shown += [" ".join([text_of[t] for t in w]) for w in fresh]
                 plain += [b"".join([raw_of[t] for t in w]) for w in fresh]
                 size = np.concatenate([size, np.fromiter(map(len, fresh), np.int64, len(fresh))])
+                filled = np.diff(off[i : j + 1]) > 1  # an empty text has the added space only, and no word
                 total = np.concatenate([[0], np.cumsum(size[word])])
+                count = np.where(filled, total[bound[1:]] - total[bound[:-1]], 0) + 1
                 at = word.tolist()
+                sha, back = [], []
                 for d in range(j - i):
-                    a, b = bound[d], bound[d + 1]
-                    own = at[a:b] if off[i + d + 1] - off[i + d] > 1 else []
-                    count.append((int(total[b] - total[a]) if own else 0) + 1)
+                    own = at[bound[d] : bound[d + 1]] if filled[d] else []
                     sha.append(hashlib.sha256(" ".join([shown[k] for k in own] + [model.text[model.end]]).encode()).hexdigest())
-                    raw = b"".join([plain[k] for k in own])
-                    back.append(hashlib.sha256(raw[1:]).hexdigest())
-                    if with_ids:
-                        ids.append([t for k in own for t in enc.ids[k]] + [model.end])
-            columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    back.append(hashlib.sha256(b"".join([plain[k] for k in own])[1:]).hexdigest())
+                columns = [batch.column(0).slice(i, j - i), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    flat = np.concatenate([flat, np.fromiter((t for w in fresh for t in w), np.int32)])
+                    columns.append(_ids_column(word[np.repeat(filled, np.diff(bound))], size, flat, count, model.end))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
