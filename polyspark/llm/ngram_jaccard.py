@@ -375,11 +375,12 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = stash.put(index.groupBy("bucket").applyInArrow(_candidates(num, den), "x long, y long, grp long, at long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        # Pairs, texts and components grow with the documents: no side of these joins is ever broadcast.
         wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-        texts = stash.put(rows.mapInArrow(_squeezed, "id long, z binary").join(wanted, "id", "left_semi"))
+        texts = stash.put(rows.mapInArrow(_squeezed, "id long, z binary").join(wanted.hint("merge"), "id", "left_semi"))
         full = (
-            pairs.join(texts.select(F.col("id").alias("x"), F.col("z").alias("zx")), "x")
-            .join(texts.select(F.col("id").alias("y"), F.col("z").alias("zy")), "y")
+            pairs.hint("merge").join(texts.select(F.col("id").alias("x"), F.col("z").alias("zx")), "x")
+            .hint("merge").join(texts.select(F.col("id").alias("y"), F.col("z").alias("zy")), "y")
             .select("x", "y", "zx", "zy")
         )
         out = stash.put(full.mapInArrow(_verify(size, cells_of, num, den), "u long, v long"))
@@ -387,25 +388,25 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return out
 
     same = features.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("low"))
-    copies = features.where("n > 0").join(same, ["sig", "n"]).where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
+    copies = features.where("n > 0").join(same.hint("merge"), ["sig", "n"]).where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
     pairs = stash.put(found.where("grp is null").select("x", "y").distinct())
     links = verified(pairs).unionByName(copies)
     comp = connected_components(links, stash)
     # Groups that still span several components: compare across components only.
     members = found.where("grp is not null").groupBy("grp", F.col("x").alias("id")).agg(F.first("y").alias("n"), F.min("at").alias("at"))
-    members = members.join(comp.select(F.col("u").alias("id"), "v"), "id", "left").select("grp", "id", "n", "at", F.coalesce("v", "id").alias("comp"))
+    members = members.join(comp.select(F.col("u").alias("id"), "v").hint("merge"), "id", "left").select("grp", "id", "n", "at", F.coalesce("v", "id").alias("comp"))
     members = stash.put(members)
     heads = members.groupBy("grp").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("id").alias("head")).where("a <> b").select("grp", "head")
-    members = stash.put(members.join(heads, "grp"))
+    members = stash.put(members.join(heads.hint("merge"), "grp"))
     if members.isEmpty():
         return features, comp
     family = connected_components(members.select(F.col("id").alias("u"), F.col("head").alias("v")), stash)
     family = family.select(F.col("u").alias("head"), F.col("v").alias("f"))
-    members = members.join(family, "head", "left").withColumn("family", F.coalesce("f", "head")).drop("f", "head")
+    members = members.join(family.hint("merge"), "head", "left").withColumn("family", F.coalesce("f", "head")).drop("f", "head")
     wide = members.groupBy("family").agg(F.countDistinct("id").alias("docs")).where(f"docs > {MOST_FAMILY}").select("family")
     members = stash.put(members.join(wide.withColumn("wide", F.lit(True)), "family", "left"))
     narrow = members.where("wide is null")
-    texts = rows.mapInArrow(_squeezed, "id long, z binary").join(narrow.select("id", F.col("family").alias("of"), "comp").distinct(), "id")
+    texts = rows.mapInArrow(_squeezed, "id long, z binary").join(narrow.select("id", F.col("family").alias("of"), "comp").distinct().hint("merge"), "id")
     more = narrow.select("family", "grp", "id", "at").groupBy("family").cogroup(texts.groupBy("of")).applyInArrow(_family(size, cells_of, num, den), "u long, v long")
     more = stash.put(more)
     rest = stash.put(members.where("wide").groupBy("grp").applyInArrow(_cross(num, den), "x long, y long").distinct().join(pairs, ["x", "y"], "left_anti"))
