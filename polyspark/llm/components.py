@@ -27,23 +27,15 @@ def connected_components(edges: DataFrame, stash: Stash) -> DataFrame:
     that do not appear are their own component. An empty table gives an empty table.
     """
     now = stash.put(_oriented(edges.select("u", "v").dropna()))
-    seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(low, "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        large = stash.put(_oriented(large))
+        large = _oriented(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v")))
-        after = stash.put(_oriented(small))
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after = stash.put(_oriented(small.unionByName(low.select("u", F.col("m").alias("v")))))
         stash.drop(now)
-        stash.drop(large)
-        if mark == seen:
+        # Done when no vertex has a smaller one and is the smaller one of another: every component is a star.
+        if after.join(after.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             return after
-        now, seen = after, mark
+        now = after
