@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written as Parquet and reread.
 All stages but the last return the columns of ``documents``.
+
+Nulls and edges: a row with a null id cannot be addressed and goes in the first stage, as does a null text or one without
+letters; null lang, source and n_chars stay or are filled in; a repeated row stays repeated until a stage drops its document;
+an empty table passes all stages; columns that ``documents`` does not name are left behind.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be determined (no letter at all) go; a missing language is filled in."""
     found = predict_language(docs, learn(docs)).select(F.col("doc_id").alias("_id"), "lang_pred").where(F.col("lang_pred") != UNDETERMINED)
-    rows = docs.join(found.dropDuplicates(["_id"]), docs["doc_id"].cast("long") == F.col("_id"))
+    rows = docs.join(found.dropDuplicates(["_id"]).hint("merge"), docs["doc_id"].cast("long") == F.col("_id"))
     return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
@@ -36,7 +40,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by shingle similarity the one with the smallest id stays."""
     kept = jaccard_classes(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("_id"), "left_semi").select(*COLUMNS)
+    return docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == F.col("_id"), "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

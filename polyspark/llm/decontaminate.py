@@ -94,7 +94,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     wins = windows(items, size=size).cache()
     met = phrase_candidates(rows, wins).join(bounded(wins), "wid")
     per_doc = met.groupBy("doc_id").agg(F.collect_list(F.struct("start", "win", "items")).alias("cand"))
-    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_whole"), *keep).join(per_doc, "doc_id", "left")
+    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_whole"), *keep).join(per_doc.hint("merge"), "doc_id", "left")
     full = full.withColumn("ws", words(F.col("_whole")))
     true = F.filter(F.coalesce("cand", F.expr("cast(array() as array<struct<start:int,win:array<string>,items:array<string>>>)")), lambda c: F.slice("ws", c["start"] + 1, F.size(c["win"])) == c["win"])
     full = full.select("doc_id", *keep, F.size("ws").cast("long").alias("n_words"), F.when(F.col("cand").isNotNull(), true).alias("hits"))
