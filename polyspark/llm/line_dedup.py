@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are found through line hashes: each shared line pairs its later documents with the first
-document that holds it (its smallest id), so a line costs as many pairs as it has holders, however common it is, and rare
-and common lines alike lead to a partner. Pairs are aligned with patience diff: lines that are unique in both documents
-anchor the alignment, which is refined between the anchors. Aligned common blocks of at least ``MIN_CHARS`` code points go
-from the later document.
+A line goes when it stands in a run of adjacent lines, of at least ``MIN_CHARS`` code points, that any earlier document
+(one with a smaller id) has too. Partners are found through hashes of the shortest such runs, those that begin and those
+that end at each line: together they cover every longer run, so pairing each with its first holder (the smallest id)
+settles a run as all its earlier holders would, and costs as many pairs as it has holders, however common it is. Pairs are
+aligned with patience diff: lines that are unique in both documents anchor the alignment, which is refined between the
+anchors. Aligned common blocks go from the later document, and so do the runs that one increasing alignment leaves out,
+as they stand in another order or more than once.
 
 Alignments see line hashes and lengths only; texts move once, when the marked lines are cut out.
 
@@ -109,8 +111,28 @@ def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+#: An odd base of run hashes, and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+
+
+def short_runs(h: np.ndarray, size: np.ndarray, doc: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the shortest runs of lines with ``min_chars`` code points that begin or end at each line; none leaves its document."""
+    n = len(h)
+    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    at = np.arange(n)
+    first, past = np.searchsorted(doc, doc, "left"), np.searchsorted(doc, doc, "right")
+    end = np.searchsorted(total, total[:-1] + min_chars, "left")
+    start = np.searchsorted(total, total[1:] - min_chars, "right") - 1
+    ahead, behind = end <= past, start >= first
+    start, end = np.concatenate([at[ahead], start[behind]]), np.concatenate([end[ahead], at[behind] + 1])
+    power, back = (np.cumprod(np.concatenate([np.ones(1, tk.U), np.full(n, b, tk.U)])) for b in (BASE, BACK))
+    code = np.concatenate([np.zeros(1, tk.U), np.cumsum(tk.mix(h + tk.U(1)) * power[:n], dtype=tk.U)])
+    return start, end, tk.mix((code[end] - code[start]) * back[start] + (end - start).astype(tk.U))
+
+
 def doomed_lines(later: list[int], sizes: list[int], earlier: list[int], min_chars: int = MIN_CHARS) -> list[int]:
-    """Lines of the later document in aligned common blocks of at least ``min_chars`` code points."""
+    """Lines of the later document in common blocks of at least ``min_chars`` code points: the aligned ones, and those the alignment leaves."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -126,22 +148,44 @@ def doomed_lines(later: list[int], sizes: list[int], earlier: list[int], min_cha
         block.append(i)
         last = (i, j)
     end()
-    return out
-
+    return sorted({*out, *_left(later, sizes, earlier, min_chars)}) if len(out) < len(later) else out
+
+
+def _left(later: list[int], sizes: list[int], earlier: list[int], min_chars: int) -> list[int]:
+    """Lines of the later document in any run of ``min_chars`` code points that the earlier one has, in whatever order."""
+    number = {x: k for k, x in enumerate(dict.fromkeys(later))}
+    known = dict(zip(later, sizes))
+    n, m = len(later), len(earlier)
+    h = np.array([number[x] for x in later] + [number.get(x, len(number) + j) for j, x in enumerate(earlier)], tk.U)
+    # A line that only the earlier document has is of no matter: no run with it is common.
+    size = np.array(sizes + [known.get(x, 0) for x in earlier], np.int64)
+    start, end, key = short_runs(h, size, np.repeat([0, 1], [n, m]), min_chars)
+    own = start < n
+    hit = own & np.isin(key, key[~own])
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, start[hit], 1)
+    np.add.at(cover, end[hit], -1)
+    return np.flatnonzero(np.cumsum(cover[:-1]) > 0).tolist()
+
+
+def _lines(min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = tk.column_bytes(batch.column(1))
+            blobs, count, keys = [], [], []
+            for i, j in tk.blocks(off):
+                h, size, doc = line_arrays(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                start, _, key = short_runs(h, size, doc, min_chars)
+                order = np.argsort(doc[start], kind="stable")
+                key = key[order]
+                bound, held = (np.searchsorted(d, np.arange(j - i + 1)) for d in (doc, doc[start[order]]))
+                for a, b, c, e in zip(bound[:-1], bound[1:], held[:-1], held[1:]):
+                    blobs.append(tk.pack([h[a:b], size[a:b].astype(np.int32)]))
+                    count.append(int(b - a))
+                    keys.append(tk.distinct(key[c:e]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(blobs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_lines", "lines", "keys"])
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, off = tk.column_bytes(batch.column(1))
-        blobs, count, keys = [], [], []
-        for i, j in tk.blocks(off):
-            h, size, doc = line_arrays(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            bound = np.searchsorted(doc, np.arange(j - i + 1))
-            for a, b in zip(bound[:-1], bound[1:]):
-                blobs.append(tk.pack([h[a:b], size[a:b].astype(np.int32)]))
-                count.append(int(b - a))
-                u = np.unique(h[a:b])
-                keys.append(u[u > 0].view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(blobs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_lines", "lines", "keys"])
+    return run
 
 
 def _align(min_chars: int):
@@ -162,7 +206,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark: SparkSession = docs.sparkSession
     stash = Stash(spark, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    lines = stash.put(rows.mapInArrow(_lines, "id long, n_lines long, lines binary, keys array<long>"))
+    lines = stash.put(rows.mapInArrow(_lines(min_chars), "id long, n_lines long, lines binary, keys array<long>"))
     held = lines.select("id", F.explode("keys").alias("key"))
     first = held.groupBy("key").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last").select("key", "other")
     pairs = held.join(first, "key").where("other < id").select("id", "other").distinct()

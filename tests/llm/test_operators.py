@@ -285,6 +285,35 @@ def test_lines(spark, texts):
     assert line_dedup.cut_lines(empty, line_dedup.removed_lines(empty)[1]).count() == 0
 
 
+def common_runs(later, earlier, least=50):
+    """Lines of the later document in runs of adjacent lines that the earlier one has, by trying every pair of places."""
+    gone = set()
+    for i in range(len(later)):
+        for j in range(len(earlier)):
+            k = 0
+            while i + k < len(later) and j + k < len(earlier) and later[i + k].strip() == earlier[j + k].strip():
+                k += 1
+            if sum(len(x) for x in later[i : i + k] if x.strip()) >= least:
+                gone |= set(range(i, i + k))
+    return gone
+
+
+def test_lines_of_all_earlier_documents(spark):
+    p, q, r = ("passage %s of a length that is enough by itself to be taken out" % x for x in "pqr")
+    short = ["short line %s" % x for x in "abcdefgh"]
+    rows = [(1, [p, q]), (2, [q, p]), (3, [q, p]), (10, [r, "own"]), (11, [r]), (12, ["other", r, p])]
+    rows += [(20, short[:1]), (21, short[2:3]), (22, ["x", *short, "y"]), (23, ["z", *short[1:7], "w"]), (24, [*short[:3], "", *short[3:]]), (25, [*short[:3], " ", *short[3:]])]
+    rng = random.Random(3)
+    pool = [p, q, r, "", *short]
+    rows += [(100 + k, [rng.choice(pool) for _ in range(rng.randint(1, 12))]) for k in range(120)]
+    rng.shuffle(rows)
+    df = frame(spark, [(i, "\n".join(x)) for i, x in rows])
+    got = {x.id: set(x.gone) for x in line_dedup.removed_lines(df)[1].collect()}
+    want = {i: set().union(*(common_runs(x, y) for j, y in rows if j < i)) for i, x in rows}
+    assert got == {i: x for i, x in want.items() if x}
+    assert got[2] == got[3] == {0, 1} and got[23] == set(range(1, 7))
+
+
 def test_patience():
     assert line_dedup.patience(list("abcde"), list("xabde")) == [(0, 1), (1, 2), (3, 3), (4, 4)]
     assert line_dedup.patience([], [1]) == [] and line_dedup.patience([1, 1], [1]) == [(0, 0)]
