@@ -5,7 +5,7 @@ A line goes when it stands in a run of adjacent lines, of at least ``MIN_CHARS``
 that end at each line: together they cover every longer run, so pairing each with its first holder (the smallest id)
 settles a run as all its earlier holders would, and costs as many pairs as it has holders, however common it is. Pairs are
 aligned with patience diff: lines that are unique in both documents anchor the alignment, which is refined between the
-anchors. Aligned common blocks go from the later document, and so do the runs that one increasing alignment leaves out,
+anchors; where none is unique, the k-th places of equal lines anchor it. Aligned common blocks go from the later document, and so do the runs that one increasing alignment leaves out,
 as they stand in another order or more than once.
 
 Alignments see line hashes and lengths only; texts move once, when the marked lines are cut out.
@@ -77,7 +77,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             in_b[b[j]] = -1 if b[j] in in_b else j
         unique = [(i, in_b[x]) for x, i in in_a.items() if i >= 0 and in_b.get(x, -1) >= 0]
         unique.sort()
-        chain = _longest(unique)
+        chain = _longest(unique or _numbered(a, b, alo, ahi, blo, bhi))
         if not chain:
             continue
         pi, pj = alo, blo
@@ -89,6 +89,14 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _numbered(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
+    """For a range without a line that is unique in both documents: the k-th place of each line with its k-th place in the other."""
+    places: dict[int, list[int]] = {}
+    for j in range(bhi - 1, blo - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    return [(i, places[a[i]].pop()) for i in range(alo, ahi) if places.get(a[i])]
+
+
 def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain of pairs that increases in both places (pairs are sorted by the first)."""
     from bisect import bisect_left

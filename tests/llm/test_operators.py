@@ -324,6 +324,21 @@ def test_patience():
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def test_patience_without_unique_lines():
+    assert line_dedup.patience(list("sP"), list("PPt")) == [(1, 0)]
+    assert line_dedup.patience(list("PxP"), list("aPb")) == [(0, 1)]
+    assert line_dedup.patience(list("xPPy"), list("aPPb")) == [(1, 1), (2, 2)]
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("PQ") * 60 for _ in range(rng.randint(1, 9))] for _ in range(2))
+        pairs = line_dedup.patience(a, b)
+        assert bool(pairs) == bool(set(a) & set(b))
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    hot = "a passage that stands twice in the first document that holds it"
+    assert line_dedup.doomed_lines(["s", hot], [1, len(hot)], [hot, hot, "t"]) == [1]
+    assert line_dedup.doomed_lines([hot, "x", hot], [len(hot), 1, len(hot)], ["a", hot, "b"]) == [0, 2]
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 16))
