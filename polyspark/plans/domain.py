@@ -98,6 +98,12 @@ def gap_fill(spark, d):
     return timeseries.gap_fill(m.groupBy(timeseries.time_bucket("6 hours", "ts").alias("bucket")).agg(F.count("*").alias("n")), "6 hours", "bucket", "n")
 
 
+def gap_fill_all(spark, d):
+    """All events by minute, which leaves real gaps; n is 0 in an added bucket."""
+    b = _metrics(spark, d).groupBy(timeseries.time_bucket("1 minute", "ts").alias("bucket")).agg(F.count("*").alias("n"))
+    return timeseries.gap_fill(b, "1 minute", "bucket", "n").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("gap"))
+
+
 def lag_by_row(spark, d):
     m = _metrics(spark, d).withColumn("k", F.col("event_id") % 3)
     return timeseries.lag_by(m, "event_id", "k", ["ts", "event_id"], ["user_id"]).select("event_id", "lagged")
@@ -133,6 +139,11 @@ def json_build_set(spark, d):
     return o.select("o_orderkey", document.json_set(j, ["extra", "n"], 5).alias("j"))
 
 
+def json_build_set_all(spark, d):
+    j = document.build_object(status=F.col("o_orderstatus"), key=F.col("o_orderkey"))
+    return load(spark, d, "orders").select("o_orderkey", document.json_set(j, ["extra", "n"], 5).alias("j"))
+
+
 def json_path_lookup(spark, d):
     return document.json_path_lookup(load(spark, d, "events"), "event_id", "props", "k", "87")
 
@@ -397,8 +408,8 @@ def shared_state(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    time_bucket, time_bucket_range, rollup, rollup_retention, moving_average, interpolate, gap_fill, lag_by_row, ntile_formula,
-    json_arrow, json_typeof_valid, json_contains, json_build_set, json_path_lookup, pipeline_group, pipeline_project, fts_and, bm25,
+    time_bucket, time_bucket_range, rollup, rollup_retention, moving_average, interpolate, gap_fill, gap_fill_all, lag_by_row, ntile_formula,
+    json_arrow, json_typeof_valid, json_contains, json_build_set, json_build_set_all, json_path_lookup, pipeline_group, pipeline_project, fts_and, bm25,
     l2_topk, cosine_topk, dot_product, hybrid_rrf, tumbling, sliding, sliding_sparse, session, session_by_key, time_travel, cdc_diff, topic_retention,
     graph_neighbors, graph_bfs, graph_shortest_path, graph_components, graph_pagerank, graph_triangles, graph_labels, graph_match_2hop,
     st_distance, st_dwithin_filter, st_dwithin_join, st_within, st_area_length, st_transform, st_intersects_join, grid_cluster, kernel_density, raster_value,
@@ -432,12 +443,14 @@ ORACLE_SQL = {
  WINDOW b AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
  SELECT event_id, round(CASE WHEN value IS NOT NULL THEN value WHEN lv IS NOT NULL AND hv IS NOT NULL THEN lv + (hv - lv) * (rn - lr) / (hr - lr) ELSE coalesce(lv, hv) END, 6) AS filled FROM k""",
     "gap_fill": f"WITH {METRICS}, b AS (SELECT ts - ts % {6 * HOUR} AS bucket, count(*) AS n FROM m WHERE event_type = 'purchase' AND event_id % 10 = 0 GROUP BY 1), g AS (SELECT unnest(range(a, z + 1, {6 * HOUR})) AS bucket FROM (SELECT min(bucket) AS a, max(bucket) AS z FROM b)) SELECT g.bucket, n FROM g LEFT JOIN b ON g.bucket = b.bucket",
+    "gap_fill_all": f"WITH {METRICS}, b AS (SELECT ts - ts % 60000 AS bucket, count(*) AS n FROM m GROUP BY 1), g AS (SELECT unnest(range(a, z + 1, 60000)) AS bucket FROM (SELECT min(bucket) AS a, max(bucket) AS z FROM b)) SELECT g.bucket, coalesce(n, 0) AS n, n IS NULL AS gap FROM g LEFT JOIN b ON g.bucket = b.bucket",
     "lag_by_row": f"WITH {METRICS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM m) SELECT a.event_id, b.event_id AS lagged FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.rn = a.rn - a.event_id % 3",
     "ntile_formula": "SELECT c_custkey, CAST(least(4, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1) * 4 // count(*) OVER (PARTITION BY c_mktsegment) + 1) AS BIGINT) AS tile FROM customer",
     "json_arrow": "SELECT event_id, CAST(props -> '$.k' AS VARCHAR) AS j, props ->> '$.k' AS t, props ->> '$.missing' AS none FROM events",
     "json_typeof_valid": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'array' WHEN 1 THEN 'string' WHEN 2 THEN NULL ELSE 'object' END AS kind, event_id % 5 <> 2 AS ok, CASE WHEN event_id % 5 = 0 THEN 2 END AS n FROM events",
     "json_contains": "SELECT o_orderkey, o_orderstatus = 'F' AS hit FROM orders",
     "json_build_set": """SELECT o_orderkey, '{"extra":{"n":5},"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS j FROM orders WHERE o_orderkey % 11 = 0""",
+    "json_build_set_all": """SELECT o_orderkey, '{"extra":{"n":5},"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS j FROM orders""",
     "json_path_lookup": "SELECT event_id FROM events WHERE props ->> '$.k' = '87'",
     "pipeline_group": "SELECT o_orderpriority AS _id, round(sum(o_totalprice), 2) AS total, CAST(count(*) AS DOUBLE) AS n, round(avg(o_totalprice), 4) AS mean, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders WHERE o_totalprice > 50000 AND o_orderstatus <> 'P' GROUP BY 1",
     "pipeline_project": "SELECT o_orderkey, o_totalprice AS price, 'top' AS tag FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 3",
