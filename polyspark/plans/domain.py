@@ -47,6 +47,16 @@ def _sparse(spark: SparkSession, d: str) -> DataFrame:
 SPARSE = "e AS (SELECT c_custkey AS src, c_custkey + 1 AS dst FROM customer WHERE c_custkey % 3 <> 0)"
 
 
+def _triples(spark: SparkSession, d: str) -> DataFrame:
+    """Customer to part, part to supplier and supplier to customer of every line item."""
+    e = load(prepare(spark), d, "orders").join(load(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    c, p, s = (F.concat(F.lit(x), k) for x, k in (("c", "o_custkey"), ("p", "l_partkey"), ("s", "l_suppkey")))
+    return e.select(F.explode(F.array(*(F.struct(a.alias("src"), b.alias("dst")) for a, b in ((c, p), (p, s), (s, c))))).alias("e")).select("e.*")
+
+
+TRIPLES = "k AS (SELECT 'c' || o_custkey AS c, 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey), e AS (SELECT c AS src, p AS dst FROM k UNION ALL SELECT p, s FROM k UNION ALL SELECT s, c FROM k)"
+
+
 def _places(spark: SparkSession, d: str, table: str, key: str) -> DataFrame:
     k = F.col(key).cast("double")
     return load(prepare(spark), d, table).select(F.col(key).alias(key), ((k * 37) % 360 - 180).alias(f"{key}_x"), ((k * 53) % 170 - 85).alias(f"{key}_y"))
@@ -275,6 +285,30 @@ def graph_labels(spark, d):
     return graph.label_propagation(_ring(spark, d), 1)
 
 
+def graph_bfs_all(spark, d):
+    return graph.bfs(_edges(spark, d), "c1", direction="both").select("vertex", F.col("depth").cast("long").alias("depth"))
+
+
+def graph_shortest_path_all(spark, d):
+    return graph.shortest_path(_edges(spark, d), "c1", "c2").select(F.col("step").cast("long").alias("step"), "vertex")
+
+
+def graph_components_all(spark, d):
+    return graph.connected_components(_edges(spark, d))
+
+
+def graph_pagerank_all(spark, d):
+    return graph.pagerank(_edges(spark, d)).select("vertex", F.round("score", 9).alias("score"))
+
+
+def graph_triangles_all(spark, d):
+    return graph.triangle_count(_triples(spark, d))
+
+
+def graph_labels_all(spark, d):
+    return graph.label_propagation(_edges(spark, d))
+
+
 def graph_match_2hop(spark, d):
     e = _edges(spark, d).withColumn("rel", F.concat(F.lit("R"), F.substring("rel", 1, 1)))
     return graph.match_path(e, "(a)-[:R1]->(b)<-[:R5]-(c)", ["a", "c"], {"a": "c1"})
@@ -412,6 +446,7 @@ QUERIES = {f.__name__: f for f in (
     json_arrow, json_typeof_valid, json_contains, json_build_set, json_build_set_all, json_path_lookup, pipeline_group, pipeline_project, fts_and, bm25,
     l2_topk, cosine_topk, dot_product, hybrid_rrf, tumbling, sliding, sliding_sparse, session, session_by_key, time_travel, cdc_diff, topic_retention,
     graph_neighbors, graph_bfs, graph_shortest_path, graph_components, graph_pagerank, graph_triangles, graph_labels, graph_match_2hop,
+    graph_bfs_all, graph_shortest_path_all, graph_components_all, graph_pagerank_all, graph_triangles_all, graph_labels_all,
     st_distance, st_dwithin_filter, st_dwithin_join, st_within, st_area_length, st_transform, st_intersects_join, grid_cluster, kernel_density, raster_value,
     upsert, update_delete, analyze_stats, value_histogram, row_checksum_verify, agent_recall, agent_metrics, latency_rollup, audit_chain, session_replay, provenance_latest, shared_state,
 )}
@@ -432,6 +467,17 @@ _PR = ", ".join(
     for i in (1, 2, 3)
 )
 
+# Over all edges, with the operators' default iterations.
+_BOTH = "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+_WALK = "w(v, depth) AS (SELECT DISTINCT src, 0 FROM b WHERE src = 'c1' UNION SELECT dst, depth + 1 FROM w JOIN b ON src = v WHERE depth < 10)"
+_PR_ALL = ", ".join(
+    f"p{i} AS MATERIALIZED (SELECT n.v, 0.15 / cnt + 0.85 * coalesce(g.got, 0) + 0.85 * coalesce((SELECT sum(s) FROM p{i - 1} WHERE v NOT IN (SELECT src FROM o)), 0) / cnt AS s FROM n CROSS JOIN c LEFT JOIN (SELECT dst, sum(s / deg) AS got FROM e JOIN o USING (src) JOIN p{i - 1} ON v = src GROUP BY dst) g ON g.dst = n.v)"
+    for i in range(1, 21)
+)
+_LABELS_ALL = ", ".join(
+    f"l{i} AS MATERIALIZED (SELECT src AS v, label FROM (SELECT src, label, count(*) AS n FROM u JOIN l{i - 1} ON v = dst GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, label) = 1)" for i in range(1, 11)
+)
+
 ORACLE_SQL = {
     "time_bucket": f"WITH {METRICS} SELECT ts - ts % {DAY} AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM m GROUP BY 1, 2 HAVING count(*) > 2",
     "time_bucket_range": f"WITH {METRICS} SELECT event_id, ts FROM m WHERE ts - ts % {DAY} = 1704153600000",
@@ -479,6 +525,12 @@ ORACLE_SQL = {
     "graph_pagerank": f"WITH {RING}, n AS (SELECT src AS v FROM e UNION SELECT dst FROM e), p0 AS (SELECT v, 1.0 / (SELECT count(*) FROM n) AS s FROM n), {_PR} SELECT v AS vertex, round(s, 9) AS score FROM p3",
     "graph_triangles": f"WITH {RING}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), c AS (SELECT unnest([p, q, r]) AS v FROM t), n AS (SELECT src AS v FROM e UNION SELECT dst FROM e) SELECT n.v AS vertex, count(c.v) AS triangles FROM n LEFT JOIN c ON n.v = c.v GROUP BY n.v",
     "graph_labels": f"WITH {RING}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), c AS (SELECT src, dst AS label, count(*) AS n FROM b GROUP BY 1, 2) SELECT src AS vertex, arg_min(label, -n * 1000 + label) AS label FROM c GROUP BY src",
+    "graph_bfs_all": f"WITH RECURSIVE {EDGES}, {_BOTH}, {_WALK} SELECT v AS vertex, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY v",
+    "graph_shortest_path_all": f"WITH RECURSIVE {EDGES}, {_BOTH}, {_WALK}, m AS (SELECT v, min(depth) AS depth FROM w GROUP BY v), f AS (SELECT m.v, m.depth, min(b.src) AS before FROM m LEFT JOIN (b JOIN m m2 ON m2.v = b.src) ON b.dst = m.v AND m2.depth = m.depth - 1 GROUP BY 1, 2), p AS (SELECT v, depth, before FROM f WHERE v = 'c2' UNION ALL SELECT f.v, f.depth, f.before FROM p JOIN f ON f.v = p.before) SELECT CAST(depth AS BIGINT) AS step, v AS vertex FROM p",
+    "graph_components_all": f"WITH RECURSIVE {EDGES}, {_BOTH}, w(v, c) AS (SELECT src, src FROM b UNION SELECT dst, c FROM w JOIN b ON src = v) SELECT v AS vertex, min(c) AS component FROM w GROUP BY v",
+    "graph_pagerank_all": f"WITH {EDGES}, n AS (SELECT src AS v FROM e UNION SELECT dst FROM e), c AS (SELECT count(*) AS cnt FROM n), o AS (SELECT src, CAST(count(*) AS DOUBLE) AS deg FROM e GROUP BY src), p0 AS (SELECT v, CAST(1.0 AS DOUBLE) / cnt AS s FROM n, c), {_PR_ALL} SELECT v AS vertex, round(s, 9) AS score FROM p20",
+    "graph_triangles_all": f"WITH {TRIPLES}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), c AS (SELECT unnest([p, q, r]) AS v FROM t), n AS (SELECT src AS v FROM e UNION SELECT dst FROM e), h AS (SELECT v, count(*) AS t FROM c GROUP BY v) SELECT n.v AS vertex, coalesce(t, 0) AS triangles FROM n LEFT JOIN h ON n.v = h.v",
+    "graph_labels_all": f"WITH {EDGES}, u AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), l0 AS (SELECT DISTINCT src AS v, src AS label FROM u), {_LABELS_ALL} SELECT v AS vertex, label FROM l10",
     "graph_match_2hop": f"WITH {EDGES} SELECT x.src AS a, y.src AS c FROM e x JOIN e y ON x.dst = y.dst WHERE x.rel[1] = '1' AND y.rel[1] = '5' AND x.src = 'c1'",
     "st_distance": f"SELECT c_custkey, round({_haversine('c_custkey_x', 'c_custkey_y', '2.3522', '48.8566')}, 3) AS metres FROM {CP}",
     "st_dwithin_filter": f"SELECT c_custkey FROM {CP} WHERE {_haversine('c_custkey_x', 'c_custkey_y', '10.0', '45.0')} <= 2000000",

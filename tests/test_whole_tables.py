@@ -1,9 +1,12 @@
 """Queries that read whole tables, against row counts and plain Python."""
 
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from polyspark.operators import graph
 from polyspark.plans.catalog import QUERIES
 from polyspark.session import load
 
@@ -22,3 +25,23 @@ def test_gap_fill_counts_every_event(spark):
 def test_json_build_set_has_every_order(spark):
     keys = [r.o_orderkey for r in QUERIES["json_build_set_all"](spark, SF).collect()]
     assert sorted(keys) == sorted(r.o_orderkey for r in load(spark, SF, "orders").select("o_orderkey").collect())
+
+
+def test_graph_operators_on_deep_and_hub_edges(spark):
+    """A path of 40 vertices in shuffled order beside a hub with 300 leaves, by union-find and walking."""
+    rng = random.Random(4)
+    path = list(range(40))
+    rng.shuffle(path)
+    pairs = list(zip(path, path[1:])) + [(1000, 1001 + k) for k in range(300)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    found = {r.vertex: r.component for r in graph.connected_components(edges).collect()}
+    assert found == {v: 0 if v < 1000 else 1000 for pair in pairs for v in pair}
+    steps = {r.vertex: r.depth for r in graph.bfs(edges, path[0]).collect()}
+    assert steps == {v: k for k, v in enumerate(path[:11])}
+
+
+def test_graph_queries_reach_every_vertex(spark):
+    e = QUERIES["graph_components_all"](spark, SF).collect()
+    o = load(spark, SF, "orders").join(load(spark, SF, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    want = {f"c{r[0]}" for r in o.select("o_custkey").distinct().collect()} | {f"s{r[0]}" for r in o.select("l_suppkey").distinct().collect()}
+    assert {r.vertex for r in e} == want
