@@ -420,10 +420,18 @@ def latency_rollup(spark, d):
     return agent.latency_rollup(m, "1 day").select("agent_id", "bucket", "count", "min", "max")
 
 
-def audit_chain(spark, d):
+def _log_of_turns(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "conversations")
     log = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("turn").alias("ts"), F.col("role").alias("actor"), F.lit("say").alias("action"), F.char_length("text").cast("string").alias("details"))
-    return agent.audit_chain(log.dropDuplicates(["session_id", "seq"])).where("prev_hash = ''").select("session_id", "seq", "hash")
+    return log.dropDuplicates(["session_id", "seq"])
+
+
+def audit_chain(spark, d):
+    return agent.audit_chain(_log_of_turns(spark, d)).where("prev_hash = ''").select("session_id", "seq", "hash")
+
+
+def audit_chain_all(spark, d):
+    return agent.audit_chain(_log_of_turns(spark, d)).select("session_id", "seq", "prev_hash", "hash")
 
 
 def session_replay(spark, d):
@@ -448,7 +456,7 @@ QUERIES = {f.__name__: f for f in (
     graph_neighbors, graph_bfs, graph_shortest_path, graph_components, graph_pagerank, graph_triangles, graph_labels, graph_match_2hop,
     graph_bfs_all, graph_shortest_path_all, graph_components_all, graph_pagerank_all, graph_triangles_all, graph_labels_all,
     st_distance, st_dwithin_filter, st_dwithin_join, st_within, st_area_length, st_transform, st_intersects_join, grid_cluster, kernel_density, raster_value,
-    upsert, update_delete, analyze_stats, value_histogram, row_checksum_verify, agent_recall, agent_metrics, latency_rollup, audit_chain, session_replay, provenance_latest, shared_state,
+    upsert, update_delete, analyze_stats, value_histogram, row_checksum_verify, agent_recall, agent_metrics, latency_rollup, audit_chain, audit_chain_all, session_replay, provenance_latest, shared_state,
 )}
 
 _BM = f"""
@@ -551,6 +559,7 @@ ORACLE_SQL = {
     "agent_metrics": "SELECT user_id AS agent_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM events GROUP BY 1",
     "latency_rollup": f"WITH {METRICS} SELECT user_id AS agent_id, ts - ts % {DAY} AS bucket, count(value) AS count, min(value) AS min, max(value) AS max FROM m GROUP BY 1, 2",
     "audit_chain": "WITH f AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY 1) SELECT c.conv_id AS session_id, c.turn AS seq, sha256('|' || c.turn || '|' || c.turn || '|' || role || '|say|' || length(text)) AS hash FROM conversations c JOIN f ON c.conv_id = f.conv_id AND c.turn = f.turn",
+    "audit_chain_all": "WITH RECURSIVE r AS (SELECT conv_id, turn, '|' || turn || '|' || turn || '|' || role || '|say|' || length(text) AS entry, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), w AS (SELECT conv_id, turn, k, '' AS prev_hash, sha256(entry) AS hash FROM r WHERE k = 1 UNION ALL SELECT r.conv_id, r.turn, r.k, w.hash, sha256(w.hash || r.entry) FROM w JOIN r ON r.conv_id = w.conv_id AND r.k = w.k + 1) SELECT conv_id AS session_id, turn AS seq, prev_hash, hash FROM w",
     "session_replay": "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS evt_offset, role FROM conversations WHERE conv_id = 3 AND turn <= 4",
     "provenance_latest": f"WITH {METRICS} SELECT user_id AS fact_ref, event_type AS source, event_id AS seq, ts FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "shared_state": f"WITH {METRICS} SELECT event_type AS workflow, event_id % 5 AS key, value, user_id AS updated_by, event_id AS updated_at FROM m QUALIFY row_number() OVER (PARTITION BY event_type, event_id % 5 ORDER BY event_id DESC) = 1",
