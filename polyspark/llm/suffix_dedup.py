@@ -419,8 +419,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: sizes and spans of what goes, a digest of what stays, and (``kept``) the bytes that stay."""
     spark: SparkSession = docs.sparkSession
     stash = Stash(spark, "suffix")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).alias("text"))
-    packs = stash.put(rows.mapInArrow(_packs, "docs long, data binary").select(F.monotonically_increasing_id().alias("pack"), "docs", "data"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    packs = stash.put(rows.where("id is not null").mapInArrow(_packs, "docs long, data binary").select(F.monotonically_increasing_id().alias("pack"), "docs", "data"))
     buckets = max(16, min(MOST_BUCKETS, packs.count() // PACKS_A_BUCKET))
     lists = packs.mapInArrow(_anchor_lists(buckets), "bucket long, pack long, blob binary")
     shared = lists.groupBy("bucket").applyInArrow(_repeated, "pack long, bucket long, bits binary")
@@ -428,7 +428,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = packs.join(shared, "pack", "left").select("pack", "docs", "data", "bits").mapInArrow(_contexts(buckets), "kind int, bucket long, pack long, blob binary")
     marks = sent.groupBy("bucket").applyInArrow(_mark, "pack long, blob binary").groupBy("pack").agg(F.collect_list("blob").alias("blobs"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return packs.join(marks, "pack", "left").select("docs", "data", "blobs").mapInArrow(_cut(with_text), schema)
+    cut = packs.join(marks, "pack", "left").select("docs", "data", "blobs").mapInArrow(_cut(with_text), schema)
+    # Rows without an id are neither earlier nor later than others, so they never reach the packs.
+    raw, none = F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.lit(0).cast("long")
+    whole = rows.where("id is null").select(F.col("id").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *[raw.alias("kept")] * with_text)
+    return cut.unionByName(whole)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

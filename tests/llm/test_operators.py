@@ -314,6 +314,16 @@ def test_lines_of_all_earlier_documents(spark):
     assert got[2] == got[3] == {0, 1} and got[23] == set(range(1, 7))
 
 
+def test_suffix_dedup_without_ids(spark):
+    shared = "é text that rows without an id share with documents that have one, " * 2
+    rows = [(None, shared), (None, shared), (None, None), (-(2**63), "lowest id"), (5, shared), (6, "own:" + shared)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    bare = [r for r in got if r.doc_id is None]
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in bare) == sorted((len(t.encode()), 0, 0, brute.sha(t), t.encode()) for t in (shared, shared, ""))
+    kept = {r.doc_id: bytes(r.kept).decode() for r in got if r.doc_id is not None}
+    assert kept == {-(2**63): "lowest id", 5: shared, 6: "own:"}
+
+
 def test_patience():
     assert line_dedup.patience(list("abcde"), list("xabde")) == [(0, 1), (1, 2), (3, 3), (4, 4)]
     assert line_dedup.patience([], [1]) == [] and line_dedup.patience([1, 1], [1]) == [(0, 0)]
