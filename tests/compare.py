@@ -3,13 +3,14 @@
 import math
 
 import duckdb
+import pandas as pd
 
 from polyspark.session import TABLES
 
 
 def rows_of(frame):
     def show(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "NULL"
         if isinstance(v, float):
             return f"{v + 0.0:.9g}" if math.isfinite(v) else str(v)
@@ -27,6 +28,4 @@ def sql_rows(sql, sf_dir):
 
 
 def spark_rows(df):
-    import pandas as pd
-
     return pd.DataFrame([tuple(r) for r in df.collect()], columns=df.columns, dtype=object)
