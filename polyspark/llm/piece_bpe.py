@@ -9,6 +9,9 @@ as the pair being merged; in that case only the leftmost place is merged in that
 sequential algorithm. A word here is a run of spaces with the run of other characters after it: no piece of the vocabulary
 has a space after another character (checked when the model is read), so merges never run over a word's end.
 
+A task keeps the ids of words it has seen, up to ``KEPT_BYTES``, in flat arrays; words are looked up by hash. The bytes of the
+pieces found are compared with the text, and a block in which they differ is encoded again by its words' bytes.
+
 Nulls and edges: a null text counts as empty; an empty text has only the end id, and decodes to ''; texts of any length
 are encoded whole; repeated rows give repeated results; an empty table gives an empty result.
 """
@@ -29,10 +32,10 @@ from . import textkit as tk
 
 SPACE = "▁"
 NO_PAIR = np.int64(1) << 40
-#: Distinct words whose encoding a task keeps; beyond that it starts anew.
-KEPT_WORDS = 400_000
-#: Bytes of text that are encoded at once.
-BLOCK_BYTES = 8 << 20
+#: Bytes of ids and hashes of words that a task keeps; beyond that it starts anew.
+KEPT_BYTES = 16 << 20
+#: Bytes of text that are encoded at once; a longer text is a block of its own.
+BLOCK_BYTES = 512 << 10
 
 
 class PieceModel:
@@ -76,7 +79,8 @@ class PieceModel:
         self.pair_made = np.array(made, np.int64)[order]
         self.pair_rank = np.array(rank, np.int64)[order]
         self.raw = [bytes([i - self.bytes_at]) if k == 6 else p.replace(SPACE, " ").encode() if k == 1 else b"" for i, (p, k) in enumerate(zip(self.pieces, self.kinds))]
-        self.text = [str(i) for i in range(len(self.pieces))]
+        self.raw_flat, self.raw_size, self.raw_at = _flat(self.raw)
+        self.shown_flat, self.shown_size, self.shown_at = _flat([b"%d " % i for i in range(len(self.pieces))])
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged symbol) of pairs; NO_PAIR where the vocabulary has none."""
@@ -154,25 +158,22 @@ class PieceModel:
         order = np.argsort(word, kind="stable")
         return sym[order], word[order]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word (UTF-8 bytes with plain spaces)."""
-        texts = [w.decode().replace(" ", SPACE) for w in words]
-        size = np.array([len(t) for t in texts], np.int64)
-        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-        sym, word = self.merged(self.symbols(chars), np.repeat(np.arange(len(words)), size))
-        bound = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
-        plain = sym < len(self.pieces)
-        bad = set(word[~plain].tolist())
-        ids = sym.tolist()
-        out = [ids[a:b] for a, b in zip(bound[:-1], bound[1:])]
-        for w in bad:
-            out[w] = [i for s in out[w] for i in ([s] if s < len(self.pieces) else self.fallback(s))]
-        return out
-
-    def fallback(self, s: int) -> list[int]:
-        """A character that has no piece becomes the pieces of its bytes."""
-        code = s - self.char_base if s >= self.char_base else self.extra[s - len(self.pieces)]
-        return [self.bytes_at + b for b in chr(code).encode()]
+    def encode_words(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each). ``raw`` has the words' UTF-8 bytes with plain spaces, ``size`` their lengths."""
+        points = np.add.reduceat((raw & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
+        chars = np.frombuffer(raw.tobytes().decode().replace(" ", SPACE).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sym, word = self.merged(self.symbols(chars), np.repeat(np.arange(len(size)), points))
+        out = np.ones(len(sym), np.int64)
+        odd = np.flatnonzero(sym >= len(self.pieces))  # a character without a piece becomes the pieces of its bytes
+        code = np.array([s - self.char_base if s >= self.char_base else self.extra[s - len(self.pieces)] for s in sym[odd].tolist()], np.int64)
+        out[odd] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        ids = np.repeat(sym, out).astype(np.int32)
+        if len(odd):
+            ids[tk.spread((np.cumsum(out) - out)[odd], out[odd])] = self.bytes_at + np.frombuffer("".join(map(chr, code.tolist())).encode(), np.uint8).astype(np.int32)
+        return ids, np.bincount(word, out, len(size)).astype(np.int64)
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        return self.raw_flat[tk.spread(self.raw_at[ids], self.raw_size[ids])]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces joined, control ids left out, byte pieces as bytes, and the leading space that encoding adds removed."""
@@ -184,6 +185,12 @@ class PieceModel:
         return raw.decode("utf-8", "replace")
 
 
+def _flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, lengths, starts) of a list of strings."""
+    size = np.array([len(p) for p in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), size, np.cumsum(size) - size
+
+
 @lru_cache(maxsize=4)
 def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
@@ -197,35 +204,43 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.age = getattr(self, "age", 0) + 1
-        self.known = np.zeros(0, tk.U)
-        self.place = np.zeros(0, np.int64)
-        self.ids: list[list[int]] = []
+        self.known = np.zeros(0, tk.U)  # sorted hashes of words, and where their ids lie
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
 
-    def words(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into ``self.ids`` of each word, first word of each document). Each document starts with the added space."""
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents, number of ids of each), without end ids. Each document starts with the added space."""
         space = buf == 0x20
         start = space.copy()
         start[1:] &= ~space[:-1]
         start[off[:-1]] = True
         ws = np.flatnonzero(start)
         size = np.diff(np.append(ws, len(buf)))
-        place = np.arange(len(buf)) - np.repeat(ws, size)
-        power = np.cumprod(np.full(int(size.max()), tk.STEP, tk.U))
-        h = tk.mix(np.add.reduceat(tk.BYTE_CODE[buf] * power[place], ws) + size.astype(tk.U))
-        u, one, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_WORDS:
+        u, one, back = np.unique(tk.span_hashes(buf, ws, size), return_index=True, return_inverse=True)
+        if 24 * len(self.known) + 4 * len(self.ids) > KEPT_BYTES:
             self.reset()
         at = np.searchsorted(self.known, u)
         new = np.flatnonzero(np.append(self.known, tk.U(0))[at] != u) if len(self.known) else np.arange(len(u))
         if len(new):
+            w = one[new]
+            ids, count = self.model.encode_words(buf[tk.spread(ws[w], size[w])], size[w])
+            at = at[new]
+            self.known = np.insert(self.known, at, u[new])
+            self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(count) - count)
+            self.size = np.insert(self.size, at, count)
+            self.ids = np.concatenate([self.ids, ids])
+        place = np.searchsorted(self.known, u)[back]
+        count = self.size[place]
+        ids = self.ids[tk.spread(self.start[place], count)]
+        if not np.array_equal(self.model.bytes_of(ids), buf):  # two words with one hash
             raw = buf.tobytes()
-            self.ids += self.model.encode_words([raw[ws[i] : ws[i] + size[i]] for i in one[new]])
-            known = np.concatenate([self.known, u[new]])
-            place = np.concatenate([self.place, np.arange(len(self.ids) - len(new), len(self.ids))])
-            order = np.argsort(known, kind="stable")
-            self.known, self.place = known[order], place[order]
-        return self.place[np.searchsorted(self.known, u)][back], np.searchsorted(ws, off)
+            known: dict[bytes, int] = {}
+            word = np.array([known.setdefault(raw[a : a + n], len(known)) for a, n in zip(ws.tolist(), size.tolist())], np.int64)
+            flat, length, _ = _flat(list(known))
+            ids, count = self.model.encode_words(flat, length)
+            ids, count = ids[tk.spread((np.cumsum(count) - count)[word], count[word])], count[word]
+        total = np.concatenate([[0], np.cumsum(count)])
+        return ids, np.diff(total[np.searchsorted(ws, off)])
 
 
 def _with_prefix(col) -> tuple[np.ndarray, np.ndarray]:
@@ -234,17 +249,10 @@ def _with_prefix(col) -> tuple[np.ndarray, np.ndarray]:
     return tk.column_bytes(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), col, pa.scalar("", pa.large_string())))
 
 
-def _ids_column(word: np.ndarray, size: np.ndarray, flat: np.ndarray, count: np.ndarray, end: int) -> pa.Array:
-    """Lists of ids: the words' ids one after another, and the end id after each text's last."""
-    begin = np.cumsum(size) - size
-    n = size[word]
-    ids = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[word], n)]
-    bound = np.concatenate([[0], np.cumsum(count)])
-    out = np.full(bound[-1], end, np.int32)
-    own = np.ones(bound[-1], bool)
-    own[bound[1:] - 1] = False
-    out[own] = ids
-    return pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(out))
+def _digests(flat: np.ndarray, bound: np.ndarray, tail: int) -> pa.Array:
+    """SHA-256 of stretches of bytes, each without its last ``tail`` bytes."""
+    raw = memoryview(np.ascontiguousarray(flat))
+    return pa.array([hashlib.sha256(raw[a : b - tail]).hexdigest() for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())], pa.string())
 
 
 def encoded(model_path: str, with_ids: bool):
@@ -252,36 +260,32 @@ def encoded(model_path: str, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
-        text_of, raw_of = model.text, model.raw
         enc = Encoder(model)
-        shown: list[str] = []
-        plain: list[bytes] = []
-        size, age = np.zeros(0, np.int64), 0
-        flat = np.zeros(0, np.int32)
         for batch in batches:
-            buf, off = _with_prefix(batch.column(1))
+            _, off = tk.column_bytes(batch.column(1))
             for i, j in tk.blocks(off, BLOCK_BYTES):  # a row batch for each block: results never pile up
-                word, bound = enc.words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                if enc.age != age:
-                    shown, plain, size, flat, age = [], [], size[:0], flat[:0], enc.age
-                fresh = enc.ids[len(shown) :]
-                shown += [" ".join([text_of[t] for t in w]) for w in fresh]
-                plain += [b"".join([raw_of[t] for t in w]) for w in fresh]
-                size = np.concatenate([size, np.fromiter(map(len, fresh), np.int64, len(fresh))])
-                filled = np.diff(off[i : j + 1]) > 1  # an empty text has the added space only, and no word
-                total = np.concatenate([[0], np.cumsum(size[word])])
-                count = np.where(filled, total[bound[1:]] - total[bound[:-1]], 0) + 1
-                at = word.tolist()
-                sha, back = [], []
-                for d in range(j - i):
-                    own = at[bound[d] : bound[d + 1]] if filled[d] else []
-                    sha.append(hashlib.sha256(" ".join([shown[k] for k in own] + [model.text[model.end]]).encode()).hexdigest())
-                    back.append(hashlib.sha256(b"".join([plain[k] for k in own])[1:]).hexdigest())
-                columns = [batch.column(0).slice(i, j - i), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+                buf, own = _with_prefix(batch.column(1).slice(i, j - i))
+                ids, count = enc.encode(buf, own)
+                filled = np.diff(own) > 1  # an empty text has the added space only, and no token but the end
+                ids, count = ids[np.repeat(filled, count)], np.where(filled, count, 0)
+                bound = np.concatenate([[0], np.cumsum(count + 1)])
+                full = np.full(bound[-1], model.end, np.int32)
+                full[tk.spread(bound[:-1], count)] = ids
+                shown = np.concatenate([[0], np.cumsum(model.shown_size[full])])[bound]
+                plain = model.bytes_of(full)  # the end id has no bytes
+                edge = np.concatenate([[0], np.cumsum(model.raw_size[full])])[bound]
+                added = np.zeros(len(plain), bool)
+                added[edge[:-1][filled]] = True  # the space that encoding adds
+                edge -= np.concatenate([[0], np.cumsum(filled)])
+                columns = [
+                    batch.column(0).slice(i, j - i),
+                    pa.array(count + 1, pa.int64()),
+                    _digests(model.shown_flat[tk.spread(model.shown_at[full], model.shown_size[full])], shown, 1),
+                    _digests(plain[~added], edge, 0),
+                ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    flat = np.concatenate([flat, np.fromiter((t for w in fresh for t in w), np.int32)])
-                    columns.append(_ids_column(word[np.repeat(filled, np.diff(bound))], size, flat, count, model.end))
+                    columns.append(pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(full)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -45,17 +45,6 @@ INDEX_BYTES = 2 << 20
 PACKS_A_BUCKET, MOST_BUCKETS = 3, 4096
 
 
-def _loads(buf: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on, as one number."""
-    n = len(buf) - 7
-    out = np.empty(n, tk.U)
-    raw = np.ascontiguousarray(buf)
-    for k in range(8):
-        part = np.frombuffer(raw, "<u8", (len(buf) - k) // 8, k)
-        out[k::8] = part[: len(out[k::8])]
-    return out
-
-
 def _sliding(f, a: np.ndarray, size: int) -> np.ndarray:
     """f (minimum or maximum) of each ``size`` neighbours, by doubling."""
     width = 1
@@ -74,7 +63,7 @@ class Contexts:
         self.p0, self.p1, self.q, self.doc, self.key = z, z, z, z, np.zeros(0, tk.U)
         if len(buf) < length or not (np.diff(off) >= length).any():
             return
-        x = self.x = _loads(buf)
+        x = self.x = tk.loads(buf)
         h = x[:-8] * tk.SLOT[20]
         h += x[8:] * tk.SLOT[21]
         h ^= h >> tk.U(32)
@@ -146,7 +135,7 @@ class RunLengthIndex:
     def _ranks(text: np.ndarray, length: int) -> np.ndarray:
         """Order of the ``length``-byte strings at all positions (only full ones are meaningful), by doubling."""
         padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
-        key = _loads(padded)[: len(text) + length].byteswap()
+        key = tk.loads(padded)[: len(text) + length].byteswap()
         _, rank = np.unique(key, return_inverse=True)
         width = 8
         while width < length:

@@ -2,6 +2,10 @@
 
 All operators that need words in bulk share these kernels. They work on the column's UTF-8 buffer directly, a block of
 documents at a time, so memory is bounded by the block and no Python object is made per word.
+
+Equal hashes stand for equal bytes here. They have 64 bits, and each chunk of 8 bytes is mixed with its place before chunks
+are added, so no regular text makes them collide; two given stretches collide with a chance of 2^-64. Where one wrong match
+would change a text or its tokens, the caller compares bytes (piece_bpe) or a second hash with another seed (line_dedup).
 """
 
 from __future__ import annotations
@@ -28,8 +32,9 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 _rng = np.random.default_rng(20240607)
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 STEP = U(0x9E3779B97F4A7C15)
+#: The first k bytes of a little-endian number.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 SLOT = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -78,20 +83,39 @@ def word_spans(buf: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.n
     return ws, we, np.searchsorted(off, ws, "right") - 1
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of several stretches, one after another."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - start, size)
+
+
+def loads(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as one little-endian number."""
+    n = len(buf) - 7
+    out = np.empty(max(n, 0), U)
+    raw = np.ascontiguousarray(buf)
+    for k in range(min(8, n)):
+        part = np.frombuffer(raw, "<u8", (len(buf) - k) // 8, k)
+        out[k::8] = part[: len(out[k::8])]
+    return out
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each stretch of bytes."""
+    if not len(start):
+        return np.zeros(0, U)
+    chunks = np.maximum(-(-size // 8), 1)
+    first = np.cumsum(chunks) - chunks
+    nth = np.arange(int(chunks.sum())) - np.repeat(first, chunks)
+    chunk = loads(np.concatenate([buf, np.zeros(8, np.uint8)]))[np.repeat(start, chunks) + 8 * nth]
+    chunk &= FIRST_BYTES[np.minimum(np.repeat(size, chunks) - 8 * nth, 8)]
+    chunk += mix(np.arange(int(nth.max()) + 1, dtype=U) * STEP + U(seed))[nth]
+    return mix(np.add.reduceat(mix(chunk), first) + size.astype(U) * STEP)
+
+
 def word_hashes(buf: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of the word with A-Z in lower case, start, end, document) of each word."""
     ws, we, doc = word_spans(buf, off, word)
-    if not len(ws):
-        return np.zeros(0, U), ws, we, doc
-    size = we - ws
-    first = np.zeros(len(ws), np.int64)
-    np.cumsum(size[:-1], out=first[1:])
-    at = np.arange(first[-1] + size[-1])
-    place = at - np.repeat(first, size)
-    at += np.repeat(ws - first, size)
-    power = np.cumprod(np.full(int(size.max()), STEP, U))
-    value = BYTE_CODE[LOWER[buf[at]]] * power[place]
-    return mix(np.add.reduceat(value, first) + size.astype(U)), ws, we, doc
+    return span_hashes(LOWER[buf], ws, we - ws), ws, we, doc
 
 
 def distinct(keys: np.ndarray) -> np.ndarray:
