@@ -73,6 +73,18 @@ def test_words():
     assert [raw[a:b].decode() for a, b in zip(ws, we)] == ["Ab", "cD", "é-x"] and doc.tolist() == [0, 1, 1]
 
 
+def test_hashes():
+    rng = random.Random(1)
+    parts = [bytes(rng.randrange(256) for _ in range(n)) for n in [*range(20), 100, 1000]] + [x.encode() for n in (1024, 4096) for x in thue_morse("a", "b", n)] + [b"\0" * n for n in range(1, 20)]
+    size = np.array([len(p) for p in parts])
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    h = textkit.span_hashes(buf, np.cumsum(size) - size, size)
+    assert len(set(h.tolist())) == len(set(parts))
+    alone = [textkit.span_hashes(np.frombuffer(p, np.uint8), np.zeros(1, int), np.array([len(p)]))[0] for p in parts]
+    assert alone == h.tolist()
+    assert not set(h.tolist()) & set(textkit.span_hashes(buf, np.cumsum(size) - size, size, 1).tolist())
+
+
 def test_suffix_dedup(spark, texts):
     got = by_id(suffix_dedup.remove_repeats(frame(spark, texts)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.repeats(texts)
@@ -96,6 +108,12 @@ def test_jaccard(spark, texts):
     assert ngram_jaccard.jaccard_classes(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_jaccard_of_long_words(spark):
+    rows = [(10 * k + j, f"one two {w} four five") for k, n in enumerate((1024, 2048, 8192)) for j, w in enumerate(thue_morse("a", "b", n))]
+    got = by_id(ngram_jaccard.jaccard_classes(frame(spark, rows)), "n_shingles", "component_id")
+    assert got == {i: (1, i) for i, _ in rows}
+
+
 def test_jaccard_families(spark, monkeypatch):
     """Large groups of near copies, some of which only reach each other over others."""
     rng = random.Random(2)
@@ -159,7 +177,9 @@ def test_pieces(spark, texts):
     path = piece_bpe.default_model()
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(3)
-    rows = texts + [(1000 + k, "".join(rng.choice("aehtin  \nгд日é😀▁-=\x00") for _ in range(rng.randint(1, 200)))) for k in range(200)] + [(1990, " " * 50), (1991, "▁▁a"), (1992, "ab" * 900)]
+    hard = [thue_morse("a", "b", n) for n in (1024, 2048, 8192)]
+    rows = texts + [(2000 + k, x + " " + y) for k, (x, y) in enumerate(hard)] + [(2010, "a long text " * 30_000)]
+    rows += [(1000 + k, "".join(rng.choice("aehtin  \nгд日é😀▁-=\x00") for _ in range(rng.randint(1, 200)))) for k in range(200)] + [(1990, " " * 50), (1991, "▁▁a"), (1992, "ab" * 900)]
     out = by_id(piece_bpe.encode_pieces(frame(spark, rows), path), "n_tokens", "ids", "ids_sha256", "decoded_sha256")
     model = piece_bpe.piece_model(path)
     for i, t in rows:
@@ -167,6 +187,21 @@ def test_pieces(spark, texts):
         assert out[i][1] == ids and out[i][0] == len(ids)
         assert out[i][2] == brute.sha(" ".join(map(str, ids))) and out[i][3] == brute.sha(sp.decode(ids))
         assert model.decode(ids) == sp.decode(ids)
+    assert piece_bpe.encode_pieces(frame(spark, rows).limit(0), path).count() == 0
+
+
+def test_pieces_of_words_with_one_hash(monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+
+    path = piece_bpe.default_model()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    plain = textkit.span_hashes
+    monkeypatch.setattr(textkit, "span_hashes", lambda *a: plain(*a) & np.uint64(7))
+    rows = ["words %d of which few hashes tell more than the last one" % k for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(rows)], ["id", "text"])
+    out = pa.Table.from_batches(piece_bpe.encoded(path, True)(iter([batch]))).column("ids").to_pylist()
+    assert out == [[*sp.encode(t), piece_bpe.piece_model(path).end] for t in rows]
 
 
 def test_language(spark):
@@ -265,24 +300,55 @@ def test_secrets(spark, texts, tmp_path):
 
 
 def test_lines(spark, texts):
-    def solid(line):
-        return line.strip(" \t\n\r\f\v")
-
-    got = {r.doc_id: (r.n_removed_lines, r.text) for r in line_dedup.cut_lines(frame(spark, texts), line_dedup.removed_lines(frame(spark, texts))[1]).collect()}
+    df = frame(spark, texts).withColumn("_id", F.lit("x")).withColumn("_gone", F.lit("y")).withColumn("row", F.lit("z"))
+    out = line_dedup.cut_lines(df, line_dedup.removed_lines(df))
+    assert out.columns == [*df.columns, "n_removed_lines"]
+    got = {r.doc_id: (r.n_removed_lines, r.text, r._id, r.row) for r in out.collect()}
     lines = {i: (t or "").split("\n") for i, t in texts}
-    first = {}
-    for i in sorted(lines):
-        for x in lines[i]:
-            if solid(x):
-                first.setdefault(x, i)
     for i, t in texts:
-        gone = set()
-        for other in {first[x] for x in lines[i] if solid(x)} - {i}:
-            gone |= set(line_dedup.doomed_lines(lines[i], [len(x) if solid(x) else 0 for x in lines[i]], lines[other]))
+        gone = set().union(*(common_runs(lines[i], lines[j]) for j in lines if j < i))
         left = "\n".join(x for k, x in enumerate(lines[i]) if k not in gone)
-        assert got[i] == (len(gone), left if gone or t is not None else None)
+        assert got[i] == (len(gone), left if gone or t is not None else None, "x", "z")
     empty = frame(spark, texts).limit(0)
-    assert line_dedup.cut_lines(empty, line_dedup.removed_lines(empty)[1]).count() == 0
+    assert line_dedup.cut_lines(empty, line_dedup.removed_lines(empty)).count() == 0
+
+
+def thue_morse(a, b, size):
+    """Two strings of which sums with any odd powers of a constant are equal."""
+    bits = [bin(k).count("1") % 2 for k in range(size)]
+    return "".join((a, b)[k] for k in bits), "".join((b, a)[k] for k in bits)
+
+
+def test_lines_that_regular_sums_confuse(spark):
+    rows, k = [], 0
+    for size in (1024, 2048, 4096, 8192):
+        x, y = thue_morse("a", "b", size)
+        rows += [(k, x), (k + 1, y), (k + 2, "new\n" + y)]
+        k += 3
+    got = {r.id: r.gone for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
+    assert got == {k: [1] for k in (2, 5, 8, 11)}
+
+
+def test_lines_of_repeated_and_missing_ids(spark):
+    p, q = ("passage %s of a length that is enough by itself to be taken out" % x for x in "pq")
+    rows = [(1, p), (2, "unrelated\nkeep me"), (2, p + "\n" + q), (2, q + "\nsame id"), (None, p), (None, None), (3, "own\n" + q), (3, "own\n" + q), (4, None), (5, "x\n" * 60_000 + p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.n_removed_lines) for r in line_dedup.cut_lines(df, line_dedup.removed_lines(df)).collect()), key=str)
+    want = [(1, p, 0), (2, "unrelated\nkeep me", 0), (2, q, 1), (2, q + "\nsame id", 0), (None, p, 0), (None, None, 0), (3, "own", 1), (3, "own", 1), (4, None, 0), (5, "x\n" * 59_999 + "x", 1)]
+    assert got == sorted(want, key=str)
+
+
+def test_lines_of_common_passages(spark, monkeypatch):
+    """Runs with more holders than RARE, some of which closer relatives settle."""
+    rng = random.Random(12)
+    pool = ["common passage number %d, which many of the documents share word by word" % k for k in range(6)] + ["short", ""]
+    rows = [(k, "\n".join([rng.choice(pool) for _ in range(rng.randint(1, 6))] + ["own line of document %d" % k])) for k in range(120)]
+    rows += [(k + 200, rows[k][1]) for k in range(0, 120, 7)]
+    want = {i: set().union(*(common_runs(t.split("\n"), u.split("\n")) for j, u in rows if j < i)) for i, t in rows}
+    for rare in (16, 2, 10**6):
+        monkeypatch.setattr(line_dedup, "RARE", rare)
+        got = {r.id: set(r.gone) for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
+        assert got == {i: x for i, x in want.items() if x}
 
 
 def common_runs(later, earlier, least=50):
@@ -308,7 +374,7 @@ def test_lines_of_all_earlier_documents(spark):
     rows += [(100 + k, [rng.choice(pool) for _ in range(rng.randint(1, 12))]) for k in range(120)]
     rng.shuffle(rows)
     df = frame(spark, [(i, "\n".join(x)) for i, x in rows])
-    got = {x.id: set(x.gone) for x in line_dedup.removed_lines(df)[1].collect()}
+    got = {x.id: set(x.gone) for x in line_dedup.removed_lines(df).collect()}
     want = {i: set().union(*(common_runs(x, y) for j, y in rows if j < i)) for i, x in rows}
     assert got == {i: x for i, x in want.items() if x}
     assert got[2] == got[3] == {0, 1} and got[23] == set(range(1, 7))
