@@ -32,8 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has go; a document of which nothing but white space is left goes."""
-    _, gone = removed_lines(docs)
-    rows = cut_lines(docs, gone).where((F.col("n_removed_lines") == 0) | (F.trim("text") != ""))
+    rows = cut_lines(docs, removed_lines(docs)).where((F.col("n_removed_lines") == 0) | (F.trim("text") != ""))
     return rows.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
