@@ -48,6 +48,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
 )
 
+ROWS_A_PART = 256
 SPAN = "struct<start:int,no:int,end:int,kind:string>"
 
 
@@ -58,15 +59,21 @@ def _spans(text: Column, rule: Rule, no: int) -> Column:
     kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.kept_group)) if rule.kept_group else hits
     zipped = F.arrays_zip(pieces.alias("piece"), hits.alias("hit"), kept.alias("kept"))
 
+    none, full = F.expr(f"cast(array() as array<{SPAN}>)"), F.expr(f"cast(array() as array<array<{SPAN}>>)")
+
     def step(acc: Column, x: Column) -> Column:
+        """Spans gather in parts of ROWS_A_PART, so that many matches are not copied for each new one."""
         start = acc["at"] + F.char_length(x["piece"])
         end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        more = F.when(F.char_length(x["kept"]) >= rule.least, F.array(span)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], more).alias("out"))
+        more = F.when(F.char_length(x["kept"]) >= rule.least, F.array(span)).otherwise(none)
+        whole = F.size(acc["part"]) >= ROWS_A_PART
+        part = F.when(whole, more).otherwise(F.concat(acc["part"], more))
+        return F.struct(end.alias("at"), part.alias("part"), F.when(whole, F.concat(acc["out"], F.array(acc["part"]))).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    zero = F.struct(F.lit(0).alias("at"), none.alias("part"), full.alias("out"))
+    found = F.aggregate(zipped, zero, step, lambda acc: F.concat(F.flatten(acc["out"]), acc["part"]))
+    return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -79,30 +86,27 @@ def blobs_of(versions: DataFrame, text_col: str = "text") -> DataFrame:
     return versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
 
 
+def _versions(rules: tuple[Rule, ...]) -> Column:
+    return F.create_map(*(x for r in rules for x in (F.lit(r.kind), F.lit(r.version))))
+
+
 def pending(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds ``todo``, the kinds whose present rule version has not seen the blob; blobs with none are left out."""
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     if ledger is None:
         return blobs.withColumn("todo", kinds)
-    now = F.create_map(*(x for r in rules for x in (F.lit(r.kind), F.lit(r.version))))
-    seen = ledger.where(now[F.col("kind")] == F.col("version")).groupBy("blob").agg(F.collect_set("kind").alias("seen"))
+    seen = ledger.select("blob", F.explode("scanned").alias("x")).where(_versions(rules)[F.col("x.kind")] == F.col("x.version"))
+    seen = seen.groupBy("blob").agg(F.collect_set("x.kind").alias("seen"))
     todo = F.array_except(kinds, F.coalesce(F.col("seen"), F.expr("cast(array() as array<string>)")))
     return blobs.join(seen, "blob", "left").withColumn("todo", todo).where(F.size("todo") > 0).drop("seen")
 
 
 def scan_blobs(todo: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, version, spans) for each pending pair, also where nothing was found: these rows extend the ledger."""
-    found = F.array(
-        *(
-            F.struct(
-                F.lit(r.kind).alias("kind"),
-                F.lit(r.version).alias("version"),
-                F.when(F.array_contains("todo", r.kind), _spans(F.col("text"), r, no)).alias("spans"),
-            )
-            for no, r in enumerate(rules)
-        )
-    )
-    return todo.select("blob", F.inline(F.filter(found, lambda x: x["spans"].isNotNull())))
+    """Ledger rows: (blob, scanned, spans), with the (kind, version) pairs that were pending and what they found, be it nothing."""
+    pairs = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    found = F.concat(*(F.when(F.array_contains("todo", r.kind), _spans(F.col("text"), r, no)).otherwise(none) for no, r in enumerate(rules)))
+    return todo.select("blob", F.filter(pairs, lambda x: F.array_contains("todo", x["kind"])).alias("scanned"), found.alias("spans"))
 
 
 def extend_ledger(spark: SparkSession, versions: DataFrame, ledger_path: str, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -115,25 +119,22 @@ def extend_ledger(spark: SparkSession, versions: DataFrame, ledger_path: str, te
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All spans of every path (row of ``versions``): ledger rows with findings, joined by content."""
-    now = F.create_map(*(x for r in rules for x in (F.lit(r.kind), F.lit(r.version))))
-    per_blob = ledger.where((now[F.col("kind")] == F.col("version")) & (F.size("spans") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return _to_paths(versions, per_blob, id_col, text_col)
-
-
-def _to_paths(versions: DataFrame, per_blob: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All spans of every path (row of ``versions``) under the present rule versions, by place and then by rule: ledger rows with findings, joined by content."""
+    now, order = _versions(rules), F.create_map(*(x for no, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(no))))
+    valid = F.filter("spans", lambda s: F.exists("scanned", lambda x: (x["kind"] == s["kind"]) & (x["version"] == now[s["kind"]])))
+    valid = F.transform(valid, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("no"), s["end"].alias("end"), s["kind"].alias("kind")))
+    per_blob = ledger.where(F.size("spans") > 0).select("blob", valid.alias("spans")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # Written first: joined straight after the aggregation, a hot blob's paths could not be split.
+    per_blob = Stash(versions.sparkSession, "secrets").put(per_blob)
     paths = versions.select(F.col(id_col).cast("long").alias(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
     return paths.join(per_blob, "blob", "left").select(id_col, "blob", F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"))
 
 
-def scan_secrets(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """A scan with an empty ledger: each content once, all rules, findings joined back to every path."""
-    todo = blobs_of(versions, text_col)
-    found = F.concat(*(_spans(F.col("text"), r, no) for no, r in enumerate(rules)))
-    per_blob = todo.select("blob", F.array_sort(found).alias("spans")).where(F.size("spans") > 0)
-    # Written first: joined straight after the aggregation, a hot blob's paths could not be split.
-    per_blob = Stash(versions.sparkSession, "secrets").put(per_blob)
-    return _to_paths(versions, per_blob, id_col, text_col)
+def scan_secrets(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger_path: str | None = None) -> DataFrame:
+    """Spans of every path through the ledger at ``ledger_path``; without one, through a new ledger in the shared folder."""
+    spark = versions.sparkSession
+    ledger = extend_ledger(spark, versions, ledger_path or Stash(spark, "ledger").root, text_col, rules)
+    return findings_by_path(versions, ledger, id_col, text_col, rules)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
