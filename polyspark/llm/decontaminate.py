@@ -1,29 +1,35 @@
 """Benchmark decontamination by a distributed positional inverted index, with DataFrame functions only.
 
-The test side is cut into windows of consecutive words. Training documents give postings (term, document, position), kept
-for the terms that the windows' anchors need: for each window its rarest terms in the training data. Every posting is moved
-back by its term's offset in the window; where the lists of all anchors of a window meet, the window may start. Those
-starts are then compared word by word with the document, which gives exact phrase matches; proximity matches allow the
-adjusted lists to miss each other by a given number of words.
+The test side is cut into windows of consecutive words. Training documents, whose words are cut once and stored, give
+postings (term, document, position), kept for the terms that the windows' anchors need: for each window its rarest terms in
+the training data. Every posting is moved back by its term's offset in the window; where the lists of all anchors of a window
+meet, the window may start. Those starts are then compared word by word with the document, which gives exact phrase matches.
+Proximity matches allow the adjusted lists to miss each other by a given number of words: each place of the rarest term is
+compared with the nearest places of the second on both sides only.
 
-Document frequencies and anchors follow all documents. The index side is broadcast only below a checked number of rows;
-beyond it the same joins run as shuffled joins. Nothing groups by a term or a window alone: candidates group by document,
-window and start, with map-side combining, so a passage that a third of all documents share is spread by document.
+Document frequencies and anchors follow all documents. The index side is broadcast only below a checked size; beyond it the
+same joins run as shuffled joins. Nothing groups by a term or a window alone: candidates group by document, window and start,
+with map-side combining, so a passage that a third of all documents share is spread by document.
 
 Nulls and edges: a null text has no words; an item without words has no window and occurs nowhere; an item of fewer words
-than a window is one window; rows with a null id are ignored on the test side; repeated items count once; empty tables give
-zero hits or an empty result; other columns of the inputs are never read.
+than a window is one window; rows with a null id are ignored on the test side and are documents as any other on the training
+side; rows that repeat an id are judged each by their own text; repeated items count once; empty tables give zero hits or an
+empty result; other columns of the inputs are never read, but for those named to be kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stash import Stash
+
 WINDOW = 10
 ANCHORS = 2
-#: Rows up to which the test side is broadcast (each row is a term, a number or a window of words: a few MB at most).
-BROADCAST_ROWS = 50_000
+#: Words that the rarest two terms of a window may stand off their distance in a proximity match.
+SLOP = 2
+#: Bytes of values up to which a part of the test side is broadcast.
+BROADCAST_BYTES = 8 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,81 +42,81 @@ def words(text: Column) -> Column:
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(win, items, wid): each distinct window once, with the ids of the items that have it."""
+    """(win, items, wid): each distinct window once, with the ids of the items that have it. ``wid`` is a hash; windows that share one are told apart by their words."""
     rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws"))
     rows = rows.where(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - size + 1, F.lit(1)))
     each = rows.select("item", "ws", F.explode(starts).alias("at")).select("item", F.slice("ws", F.col("at"), F.lit(size)).alias("win"))
-    return each.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("wid", F.concat_ws(" ", "win"))
+    return each.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("wid", F.xxhash64(F.concat_ws(" ", "win")))
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the number of rows is checked to be small; the plain table otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index restricted to ``terms``: (doc_id, pos, term). ``docs`` has doc_id and ws."""
-    return docs.select("doc_id", F.posexplode("ws").alias("pos", "term")).join(terms, "term")
+    """A broadcast hint where the table's values are checked to be small, as text with 16 bytes for each; the plain table otherwise."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16 * len(df.columns)).alias("n")).first().n or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def anchors(wins: DataFrame, frequency: DataFrame, count: int = ANCHORS) -> DataFrame:
     """(wid, term, off, bit, need): the rarest distinct terms of each window; ``need`` has the bits of all of them."""
-    terms = wins.select("wid", F.posexplode("win").alias("off", "term")).groupBy("wid", "term").agg(F.min("off").alias("off"))
-    terms = terms.join(frequency, "term", "left").select("wid", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "off").alias("t"))
-    picked = terms.groupBy("wid").agg(F.slice(F.array_sort(F.collect_list("t")), 1, count).alias("ts"))
+    terms = wins.select("wid", "win", F.posexplode("win").alias("off", "term")).groupBy("wid", "win", "term").agg(F.min("off").alias("off"))
+    terms = terms.join(frequency, "term", "left").select("wid", "win", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "off").alias("t"))
+    picked = terms.groupBy("wid", "win").agg(F.slice(F.array_sort(F.collect_list("t")), 1, count).alias("ts"))
     picked = picked.withColumn("need", F.expr("cast(shiftleft(1, size(ts)) - 1 as int)"))
     return picked.select("wid", "need", F.posexplode("ts").alias("no", "t")).select("wid", "need", F.expr("shiftleft(1, no)").alias("bit"), "t.term", "t.off")
 
 
-def _index(docs: DataFrame, wins: DataFrame, count: int) -> DataFrame:
-    """(doc_id, wid, start, bit, need): anchor postings moved back by their offsets."""
+def index(docs: DataFrame, wins: DataFrame, stash: Stash, count: int = ANCHORS) -> DataFrame:
+    """(key, wid, start, bit, need): anchor postings moved back by their offsets. ``docs`` has key and ws."""
     vocabulary = bounded(wins.select(F.explode("win").alias("term")).distinct())
     frequency = docs.select(F.explode("ws").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
-    frequency = frequency.cache()
-    found = bounded(anchors(wins, frequency, count).cache())
-    return postings(docs, found).select("doc_id", "wid", (F.col("pos") - F.col("off")).alias("start"), "bit", "need").where("start >= 0")
-
-
-def phrase_candidates(docs: DataFrame, wins: DataFrame, count: int = ANCHORS) -> DataFrame:
-    """(doc_id, wid, start) where the moved lists of all anchors of a window meet."""
-    met = _index(docs, wins, count).groupBy("doc_id", "wid", "start").agg(F.bit_or("bit").alias("got"), F.max("need").alias("need"))
-    return met.where("got = need").select("doc_id", "wid", "start")
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(doc_id, wid, start): windows whose two rarest terms stand at most ``slop`` words away from their distance in the window."""
-    wins = windows(items, size=size)
-    moved = _index(docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("ws")), wins, 2)
-    a = moved.where("bit = 1").select("doc_id", "wid", "start", "need")
-    b = moved.where("bit = 2").select("doc_id", "wid", F.col("start").alias("other"))
-    near = a.join(b, ["doc_id", "wid"]).where(F.abs(F.col("start") - F.col("other")) <= slop)
-    return near.select("doc_id", "wid", "start").unionByName(a.where("need = 1").select("doc_id", "wid", "start")).distinct()
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: n_words, n_hit (words inside any occurrence of a window), item_ids (sorted), spans; and the columns in ``keep``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("ws"))
-    wins = windows(items, size=size).cache()
-    met = phrase_candidates(rows, wins).join(bounded(wins), "wid")
-    per_doc = met.groupBy("doc_id").agg(F.collect_list(F.struct("start", "win", "items")).alias("cand"))
-    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_whole"), *keep).join(per_doc.hint("merge"), "doc_id", "left")
-    full = full.withColumn("ws", words(F.col("_whole")))
-    true = F.filter(F.coalesce("cand", F.expr("cast(array() as array<struct<start:int,win:array<string>,items:array<string>>>)")), lambda c: F.slice("ws", c["start"] + 1, F.size(c["win"])) == c["win"])
-    full = full.select("doc_id", *keep, F.size("ws").cast("long").alias("n_words"), F.when(F.col("cand").isNotNull(), true).alias("hits"))
-    places = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + F.size(c["win"]) - 1))))
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"]))))
-    return full.select(
-        "doc_id",
-        *keep,
-        "n_words",
-        F.when(F.col("hits").isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_hit"),
-        F.coalesce(found, F.expr("cast(array() as array<string>)")).alias("item_ids"),
-    )
+    found = stash.put(anchors(wins, frequency, count))
+    return docs.select("key", F.posexplode("ws").alias("pos", "term")).join(bounded(found), "term").select("key", "wid", (F.col("pos") - F.col("off")).alias("start"), "bit", "need")
+
+
+def phrase_candidates(moved: DataFrame) -> DataFrame:
+    """(key, wid, start) where the moved lists of all anchors of a window meet."""
+    met = moved.where("start >= 0").groupBy("key", "wid", "start").agg(F.bit_or("bit").alias("got"), F.max("need").alias("need"))
+    return met.where("got = need").select("key", "wid", "start")
+
+
+def near_windows(moved: DataFrame, slop: int) -> DataFrame:
+    """(key, wid) of windows whose two rarest terms stand at most ``slop`` words off their distance in the window; of windows of one term, where it stands."""
+    w = Window.partitionBy("key", "wid").orderBy("start")
+    other = F.when(F.col("bit") == 2, F.col("start"))
+    marked = moved.select("key", "wid", "start", "bit", "need", F.last(other, True).over(w).alias("before"), F.first(other, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("after"))
+    close = F.least(F.col("start") - F.col("before"), F.col("after") - F.col("start")) <= slop
+    return marked.where((F.col("bit") == 1) & ((F.col("need") == 1) | close)).select("key", "wid").distinct()
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, keep: tuple[str, ...] = (), slop: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: n_words, n_hit (words inside any occurrence of a window), item_ids (sorted); and the columns in ``keep``.
+
+    With ``slop``, near_ids too: the sorted ids of items of which a window has a proximity match.
+    """
+    stash = Stash(docs.sparkSession, "decontaminate")
+    kept = F.struct(F.col(id_col).cast("long").alias("doc_id"), *keep)
+    rows = stash.put(docs.select(F.monotonically_increasing_id().alias("key"), kept.alias("kept"), words(F.col(text_col)).alias("ws")))
+    wins = stash.put(windows(items, size=size))
+    moved = index(rows.select("key", "ws"), wins, stash)
+    if slop is not None:
+        moved = stash.put(moved)
+    met = phrase_candidates(moved).join(bounded(wins), "wid").groupBy("key", "win").agg(F.first("items").alias("items"), F.collect_list("start").alias("starts"))
+    per_doc = met.groupBy("key").agg(F.collect_list(F.struct("win", "items", "starts")).alias("cand"))
+    full = rows.join(per_doc.hint("merge"), "key", "left")
+    found = F.transform("cand", lambda c: F.struct(c["items"].alias("items"), F.size(c["win"]).alias("n"), F.filter(c["starts"], lambda s: F.slice("ws", s + 1, F.size(c["win"])) == c["win"]).alias("starts")))
+    full = full.select("key", "kept.*", F.size("ws").cast("long").alias("n_words"), F.filter(found, lambda c: F.size(c["starts"]) > 0).alias("hits"))
+    places = F.array_distinct(F.flatten(F.flatten(F.transform("hits", lambda c: F.transform(c["starts"], lambda s: F.sequence(s, s + c["n"] - 1))))))
+    ids = lambda c: F.array_sort(F.array_distinct(F.flatten(c)))
+    none = F.expr("cast(array() as array<string>)")
+    out = full.select("key", "doc_id", *keep, "n_words", F.when(F.col("hits").isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_hit"), F.coalesce(ids(F.transform("hits", lambda c: c["items"])), none).alias("item_ids"))
+    if slop is not None:
+        near = near_windows(moved, slop).join(bounded(wins.select("wid", "items")), "wid").groupBy("key").agg(ids(F.collect_set("items")).alias("near_ids"))
+        out = out.join(near.hint("merge"), "key", "left").withColumn("near_ids", F.coalesce("near_ids", none))
+    return out.drop("key")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=SLOP)
     return found.select(
         "doc_id",
         "n_words",
@@ -118,6 +124,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_ids").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join("near_ids", ","), 256).alias("near_sha256"),
     )
 
 
@@ -132,7 +140,14 @@ WITH d AS (
   SELECT doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS win FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)
 ), hit AS (SELECT p.doc_id, p.i, p.n, w.item FROM p JOIN w ON p.win = w.win AND p.n = w.n
 ), h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id
-), t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+), t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+), o AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM d
+), f AS (SELECT term, count(*) AS df FROM o GROUP BY term
+), x AS (SELECT win, term, min(off) AS off FROM (SELECT win, unnest(string_split(win, ' ')) AS term, unnest(range(n)) AS off FROM (SELECT DISTINCT win, n FROM w)) GROUP BY win, term
+), a AS (SELECT win, term, off, row_number() OVER (PARTITION BY win ORDER BY coalesce(df, 0), term) AS r, count(*) OVER (PARTITION BY win) AS terms FROM x LEFT JOIN f USING (term)
+), y AS (SELECT DISTINCT doc_id, win, r, terms, pos - off AS s FROM o JOIN a USING (term) WHERE r <= 2
+), z AS (SELECT DISTINCT p.doc_id, p.win FROM y p JOIN y q ON p.doc_id = q.doc_id AND p.win = q.win AND q.r = 2 AND abs(p.s - q.s) <= 2 WHERE p.r = 1 UNION SELECT doc_id, win FROM y WHERE terms = 1
+), e AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near FROM (SELECT DISTINCT doc_id, item FROM z JOIN w USING (win)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items, sha256(coalesce(near, '')) AS near_sha256
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN e ON d.doc_id = e.doc_id
 """
