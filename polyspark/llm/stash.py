@@ -6,17 +6,16 @@ back, so that a lost executor costs a re-read and never a recomputation of the w
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; a folder of this process only where none is named, as in local tests."""
+    """The folder named by the session; where none is named, one beside the warehouse, which all executors can reach."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="polyspark-")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -159,13 +159,38 @@ def test_decontaminate(spark, texts):
     assert got == brute.contamination(rows, items)
     none = by_id(decontaminate.decontaminate(frame(spark, rows), bench.limit(0)), "n_hit")
     assert set(none.values()) == {(0,)}
-    docs = spark.createDataFrame([(1, "a b x c d e f g h i j q1 q2"), (2, "a b c")], "doc_id long, text string")
-    near = decontaminate.proximity_matches(docs, spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string"), slop=1)
-    assert {r.doc_id for r in near.collect()} <= {1, 2}
+
+
+def test_proximity(spark):
+    item = "a b c d e f g h i j"
+    rows = [(1, "b a " + item[4:] + " tail"), (2, "a b c"), (3, "b z z z a"), (4, item), (5, "a b a b " * 50), (None, "a q b"), (None, "none"), (6, None)]
+    rows += [(100, "c d e f g h i j " * 200)]  # a and b are the rarest terms
+    out = decontaminate.decontaminate(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"), slop=2).collect()
+    freq = {}
+    for _, t in rows:
+        for x in (t or "").split():
+            freq[x] = freq.get(x, 0) + 1
+    (_, p), (_, q) = sorted((freq[x], x) for x in item.split())[:2]
+
+    def near(t):
+        w = (t or "").split()
+        places = {x: [k - item.split().index(x) for k, y in enumerate(w) if y == x] for x in (p, q)}
+        return any(abs(s - t) <= 2 for s in places[p] for t in places[q])
+
+    assert sorted(((r.doc_id, r.near_ids) for r in out), key=str) == sorted(((i, ["1"] if near(t) else []) for i, t in rows), key=str)
+    assert {r.doc_id for r in out if r.near_ids} >= {1, 2, 4, 5} and {r.doc_id for r in out if r.n_hit} == {4}
+
+
+def test_decontaminate_without_ids(spark, texts):
+    rows = [(None, texts[3][1]), (None, "other words"), (7, texts[3][1]), (7, "same id"), (8, "w " * 100_000 + texts[3][1])]
+    out = decontaminate.decontaminate(frame(spark, rows), spark.createDataFrame([(1, texts[3][1])], "item_id long, text string"))
+    n = len(texts[3][1].split())
+    assert sorted(((r.doc_id, r.n_hit) for r in out.collect()), key=str) == sorted([(None, n), (None, 0), (7, n), (7, 0), (8, n)], key=str)
+    assert decontaminate.decontaminate(frame(spark, rows).limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
 
 
 def test_decontaminate_without_broadcast(spark, texts, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     items = [(1, texts[3][1])]
     out = decontaminate.decontaminate(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
     assert {i: v[0] for i, v in by_id(out, "n_hit").items()} == {i: v[1] for i, v in brute.contamination(texts, items).items()}
@@ -221,13 +246,13 @@ def test_language(spark):
 
 
 def test_automaton_reads_substrings():
-    s = np.array([0, 1, 0, 0, 1, 2, 1, 0])
-    table = language_id.suffix_automaton(s, 3)
+    s = [0, 1, 0, 0, 1, 2, 1, 0]
+    moves = language_id.suffix_automaton(s)
 
     def reads(w):
         state = 0
         for c in w:
-            state = table[state, c]
+            state = moves[state].get(c, -1)
             if state < 0:
                 return False
         return True
@@ -240,6 +265,42 @@ def test_automaton_reads_substrings():
             assert reads(w) == (w in subs)
 
 
+def plain_phrases(text, samples):
+    """Greedy cross-parsing by substring tests."""
+    count = at = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and any(text[at : at + n + 1] in s for s in samples):
+            n += 1
+        count, at = count + 1, at + n
+    return count
+
+
+def test_cross_parsing(monkeypatch):
+    rng = random.Random(7)
+    samples = {"aa": ["abcab abd", "cabba"], "bb": ["dcba dcab", "日本語の文 日本"], "cc": ["abcd" * 30]}
+    texts = ["".join(rng.choice("abcd 日本x1") for _ in range(rng.randint(0, 120))) for _ in range(60)] + ["abcd" * 100, "", "語", "a" * 300, "abcd" * 5 + "x" + "abcd" * 30]
+
+    def norm(t):
+        return "".join(c if c.isalpha() or not (k and not t[k - 1].isalpha()) else "" for k, c in enumerate("".join(c if c.isalpha() else " " for c in t)))
+
+    for segment in (4, 16, 512):
+        monkeypatch.setattr(language_id, "SEGMENT", segment)
+        parser = language_id.Parser(samples)
+        sym, off = language_id.symbols(texts)
+        got = parser.phrases(sym, off)
+        for k, lang in enumerate(parser.langs):
+            assert got[k].tolist() == [plain_phrases(norm(t), [norm(s) for s in samples[lang]]) for t in texts]
+
+
+def test_language_edges(spark):
+    docs = spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a"), (5, "same words", None), (5, "same words", None), (6, None, None)], "doc_id long, text string, lang string")
+    out = language_id.predict_language(docs, (("a", ("same words here",)), ("b", ("same words here",)))).collect()
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in out) == [(1, "a", 0.0), (2, "a", 0.0), (5, "a", 0.0), (5, "a", 0.0), (6, "und", 0.0)]
+    assert language_id.predict_language(docs.limit(0), language_id.learn(docs.limit(0))).count() == 0
+    assert language_id.predict_language(docs.limit(0), language_id.learn(docs)).count() == 0
+
+
 def test_html(spark):
     rng = random.Random(40)
     model = html_extract.trained()
@@ -292,10 +353,15 @@ def test_secrets(spark, texts, tmp_path):
     ledger = secret_scan.extend_ledger(spark, df, path)
     assert digest(secret_scan.findings_by_path(df, ledger)) == want
     n = ledger.count()
-    assert n == len({t or "" for _, t in rows}) * len(secret_scan.RULES)
+    assert n == len({t or "" for _, t in rows})
+    assert ledger.select(F.explode("scanned")).count() == n * len(secret_scan.RULES)
     assert secret_scan.extend_ledger(spark, df, path).count() == n  # nothing is scanned twice
     newer = tuple(secret_scan.Rule(r.kind, r.pattern, 2, r.kept_group, r.least, r.base) if r.kind == "hex" else r for r in secret_scan.RULES)
-    assert secret_scan.extend_ledger(spark, df, path, rules=newer).count() == n + n // len(newer)  # one rule, once for each blob
+    assert secret_scan.extend_ledger(spark, df, path, rules=newer).where("size(scanned) = 1").count() == n  # one rule, once for each blob
+    assert digest(secret_scan.findings_by_path(df, spark.read.parquet(path), rules=newer)) == want
+    many = spark.createDataFrame([(1, "token=abcdef " * 1000), (None, "token=abcdef")], "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secret_scan.scan_secrets(many).collect()}
+    assert found == {1: [(13 * k, 13 * k + 12) for k in range(1000)], None: [(0, 12)]}
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
