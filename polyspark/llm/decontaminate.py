@@ -1,15 +1,15 @@
 """Benchmark decontamination by a distributed positional inverted index, with DataFrame functions only.
 
 The test side is cut into windows of consecutive words. Training documents, whose words are cut once and stored, give
-postings (term, document, position), kept for the terms that the windows' anchors need: for each window its rarest terms in
-the training data. Every posting is moved back by its term's offset in the window; where the lists of all anchors of a window
-meet, the window may start. Those starts are then compared word by word with the document, which gives exact phrase matches.
-Proximity matches allow the adjusted lists to miss each other by a given number of words: each place of the rarest term is
-compared with the nearest places of the second on both sides only.
+postings (term, document, position), kept for the terms that the windows' anchors need: for each window its two rarest terms
+in the training data. Every posting is moved back by its term's offset in the window. Where the lists of both anchors meet,
+the window may start; those starts are then compared word by word with the document, which gives exact phrase matches.
+Where the lists miss each other by a few words at most, the window has a proximity match.
 
-Document frequencies and anchors follow all documents. The index side is broadcast only below a checked size; beyond it the
-same joins run as shuffled joins. Nothing groups by a term or a window alone: candidates group by document, window and start,
-with map-side combining, so a passage that a third of all documents share is spread by document.
+Document frequencies and anchors follow all documents. Words are dealt out by document once; postings are made, sorted,
+intersected and verified where their document lies, so no list of a term or a window is ever gathered, and a passage that a
+third of all documents share is spread by document. The test side is broadcast only below a checked size; beyond it the same
+joins run as shuffled joins.
 
 Nulls and edges: a null text has no words; an item without words has no window and occurs nowhere; an item of fewer words
 than a window is one window; rows with a null id are ignored on the test side and are documents as any other on the training
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .stash import Stash
 
 WINDOW = 10
-ANCHORS = 2
 #: Words that the rarest two terms of a window may stand off their distance in a proximity match.
 SLOP = 2
 #: Bytes of values up to which a part of the test side is broadcast.
 BROADCAST_BYTES = 8 << 20
+KEY = ("k1", "k2", "bare")
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,63 +56,55 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def anchors(wins: DataFrame, frequency: DataFrame, count: int = ANCHORS) -> DataFrame:
-    """(wid, term, off, bit, need): the rarest distinct terms of each window; ``need`` has the bits of all of them."""
+def anchors(wins: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(wid, term, off, bit, alone): the two rarest distinct terms of each window, as bits 1 and 2; ``alone`` where it has one term only."""
     terms = wins.select("wid", "win", F.posexplode("win").alias("off", "term")).groupBy("wid", "win", "term").agg(F.min("off").alias("off"))
     terms = terms.join(frequency, "term", "left").select("wid", "win", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "off").alias("t"))
-    picked = terms.groupBy("wid", "win").agg(F.slice(F.array_sort(F.collect_list("t")), 1, count).alias("ts"))
-    picked = picked.withColumn("need", F.expr("cast(shiftleft(1, size(ts)) - 1 as int)"))
-    return picked.select("wid", "need", F.posexplode("ts").alias("no", "t")).select("wid", "need", F.expr("shiftleft(1, no)").alias("bit"), "t.term", "t.off")
+    picked = terms.groupBy("wid", "win").agg(F.slice(F.array_sort(F.collect_list("t")), 1, 2).alias("ts"))
+    return picked.select("wid", (F.size("ts") == 1).alias("alone"), F.posexplode("ts").alias("no", "t")).select("wid", "alone", (F.col("no") + 1).alias("bit"), "t.term", "t.off")
 
 
-def index(docs: DataFrame, wins: DataFrame, stash: Stash, count: int = ANCHORS) -> DataFrame:
-    """(key, wid, start, bit, need): anchor postings moved back by their offsets. ``docs`` has key and ws."""
+def matches(docs: DataFrame, wins: DataFrame, stash: Stash, slop: int) -> DataFrame:
+    """(document, wid, starts): windows whose moved anchor lists come within ``slop`` words of each other, and the starts where they meet.
+
+    ``docs`` has the columns of KEY and ws, dealt out by document; nothing here moves them. In the order of moved places, the
+    closest places of both terms are neighbours, so one look at the row before tells.
+    """
     vocabulary = bounded(wins.select(F.explode("win").alias("term")).distinct())
     frequency = docs.select(F.explode("ws").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
-    found = stash.put(anchors(wins, frequency, count))
-    return docs.select("key", F.posexplode("ws").alias("pos", "term")).join(bounded(found), "term").select("key", "wid", (F.col("pos") - F.col("off")).alias("start"), "bit", "need")
-
-
-def phrase_candidates(moved: DataFrame) -> DataFrame:
-    """(key, wid, start) where the moved lists of all anchors of a window meet."""
-    met = moved.where("start >= 0").groupBy("key", "wid", "start").agg(F.bit_or("bit").alias("got"), F.max("need").alias("need"))
-    return met.where("got = need").select("key", "wid", "start")
-
-
-def near_windows(moved: DataFrame, slop: int) -> DataFrame:
-    """(key, wid) of windows whose two rarest terms stand at most ``slop`` words off their distance in the window; of windows of one term, where it stands."""
-    w = Window.partitionBy("key", "wid").orderBy("start")
-    other = F.when(F.col("bit") == 2, F.col("start"))
-    marked = moved.select("key", "wid", "start", "bit", "need", F.last(other, True).over(w).alias("before"), F.first(other, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("after"))
-    close = F.least(F.col("start") - F.col("before"), F.col("after") - F.col("start")) <= slop
-    return marked.where((F.col("bit") == 1) & ((F.col("need") == 1) | close)).select("key", "wid").distinct()
+    found = bounded(stash.put(anchors(wins, frequency)))
+    moved = docs.select(*KEY, F.posexplode("ws").alias("pos", "term")).join(found, "term").select(*KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), "bit", "alone")
+    w = Window.partitionBy(*KEY, "wid").orderBy("start", "bit")
+    moved = moved.withColumn("other", F.lag("bit").over(w) != F.col("bit")).withColumn("gap", F.col("start") - F.lag("start").over(w))
+    close = moved.where(F.col("alone") | (F.col("other") & (F.col("gap") <= slop)))
+    exact = (F.col("start") >= 0) & (F.col("alone") | (F.col("gap") == 0))
+    return close.groupBy(*KEY, "wid").agg(F.collect_set(F.when(exact, F.col("start"))).alias("starts"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, keep: tuple[str, ...] = (), slop: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: n_words, n_hit (words inside any occurrence of a window), item_ids (sorted); and the columns in ``keep``.
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, keep: tuple[str, ...] = (), slop: int = 0) -> DataFrame:
+    """One row per row of ``docs``: n_words, n_hit (words inside any occurrence of a window), item_ids (sorted), near_ids; and the columns in ``keep``.
 
-    With ``slop``, near_ids too: the sorted ids of items of which a window has a proximity match.
+    near_ids are the sorted ids of items of which the two rarest terms of a window stand at most ``slop`` words off their distance in it.
     """
     stash = Stash(docs.sparkSession, "decontaminate")
-    kept = F.struct(F.col(id_col).cast("long").alias("doc_id"), *keep)
-    rows = stash.put(docs.select(F.monotonically_increasing_id().alias("key"), kept.alias("kept"), words(F.col(text_col)).alias("ws")))
+    ident, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    # A row is known by its id and a hash of id and text, so that rows without an id, or with one id, stay apart.
+    key = (F.coalesce(ident, F.lit(0)).alias("k1"), F.xxhash64(ident, text).alias("k2"), ident.isNull().alias("bare"))
+    rows = stash.put(docs.select(*key, words(F.col(text_col)).alias("ws"))).repartition("k1", "k2")
     wins = stash.put(windows(items, size=size))
-    moved = index(rows.select("key", "ws"), wins, stash)
-    if slop is not None:
-        moved = stash.put(moved)
-    met = phrase_candidates(moved).join(bounded(wins), "wid").groupBy("key", "win").agg(F.first("items").alias("items"), F.collect_list("start").alias("starts"))
-    per_doc = met.groupBy("key").agg(F.collect_list(F.struct("win", "items", "starts")).alias("cand"))
-    full = rows.join(per_doc.hint("merge"), "key", "left")
+    met = matches(rows, wins, stash, slop).join(bounded(wins), "wid")
+    per_doc = met.groupBy(*KEY).agg(F.collect_list(F.struct(F.when(F.size("starts") > 0, F.col("win")).alias("win"), "items", "starts")).alias("cand")).drop("bare")
+    full = rows.join(per_doc.hint("merge"), ["k1", "k2"], "left")
     found = F.transform("cand", lambda c: F.struct(c["items"].alias("items"), F.size(c["win"]).alias("n"), F.filter(c["starts"], lambda s: F.slice("ws", s + 1, F.size(c["win"])) == c["win"]).alias("starts")))
-    full = full.select("key", "kept.*", F.size("ws").cast("long").alias("n_words"), F.filter(found, lambda c: F.size(c["starts"]) > 0).alias("hits"))
-    places = F.array_distinct(F.flatten(F.flatten(F.transform("hits", lambda c: F.transform(c["starts"], lambda s: F.sequence(s, s + c["n"] - 1))))))
-    ids = lambda c: F.array_sort(F.array_distinct(F.flatten(c)))
-    none = F.expr("cast(array() as array<string>)")
-    out = full.select("key", "doc_id", *keep, "n_words", F.when(F.col("hits").isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_hit"), F.coalesce(ids(F.transform("hits", lambda c: c["items"])), none).alias("item_ids"))
-    if slop is not None:
-        near = near_windows(moved, slop).join(bounded(wins.select("wid", "items")), "wid").groupBy("key").agg(ids(F.collect_set("items")).alias("near_ids"))
-        out = out.join(near.hint("merge"), "key", "left").withColumn("near_ids", F.coalesce("near_ids", none))
-    return out.drop("key")
+    full = full.select(*KEY, F.size("ws").cast("long").alias("n_words"), found.alias("cand"))
+    hits = F.filter("cand", lambda c: F.size(c["starts"]) > 0)
+    places = F.array_distinct(F.flatten(F.flatten(F.transform(hits, lambda c: F.transform(c["starts"], lambda s: F.sequence(s, s + c["n"] - 1))))))
+    ids = lambda c: F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(c, lambda x: x["items"])))), F.expr("cast(array() as array<string>)"))
+    full = full.select("k1", "k2", F.when(~F.col("bare"), F.col("k1")).alias("doc_id"), "n_words", F.greatest(F.size(F.coalesce(places, F.expr("cast(array() as array<int>)"))), F.lit(0)).cast("long").alias("n_hit"), ids(hits).alias("item_ids"), ids(F.col("cand")).alias("near_ids"))
+    if not keep:
+        return full.drop("k1", "k2")
+    kept = docs.select(*key[:2], *keep)
+    return full.dropDuplicates(["k1", "k2"]).join(kept.hint("merge"), ["k1", "k2"]).select("doc_id", *keep, "n_words", "n_hit", "item_ids", "near_ids")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
