@@ -64,16 +64,25 @@ def anchors(wins: DataFrame, frequency: DataFrame) -> DataFrame:
     return picked.select("wid", (F.size("ts") == 1).alias("alone"), F.posexplode("ts").alias("no", "t")).select("wid", "alone", (F.col("no") + 1).alias("bit"), "t.term", "t.off")
 
 
-def matches(docs: DataFrame, wins: DataFrame, stash: Stash, slop: int) -> DataFrame:
+def split_words(line: str) -> Column:
+    """Words that stand in one string, with a space between: a third of an array's bytes when rows move."""
+    return F.array_remove(F.split(line, " ", -1), "")
+
+
+def frequencies(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """(term, df): how often each word of the test side stands in all documents."""
+    vocabulary = bounded(wins.select(F.explode("win").alias("term")).distinct())
+    return docs.select(F.explode(split_words("line")).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def matches(docs: DataFrame, anchored: DataFrame, slop: int) -> DataFrame:
     """(document, wid, starts): windows whose moved anchor lists come within ``slop`` words of each other, and the starts where they meet.
 
-    ``docs`` has the columns of KEY and ws, dealt out by document; nothing here moves them. In the order of moved places, the
+    ``docs`` has the columns of KEY and line, dealt out by document; nothing here moves them. In the order of moved places, the
     closest places of both terms are neighbours, so one look at the row before tells.
     """
-    vocabulary = bounded(wins.select(F.explode("win").alias("term")).distinct())
-    frequency = docs.select(F.explode("ws").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
-    found = bounded(stash.put(anchors(wins, frequency)))
-    moved = docs.select(*KEY, F.posexplode("ws").alias("pos", "term")).join(found, "term").select(*KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), "bit", "alone")
+    found = bounded(anchored)
+    moved = docs.select(*KEY, F.posexplode(split_words("line")).alias("pos", "term")).join(found, "term").select(*KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), "bit", "alone")
     w = Window.partitionBy(*KEY, "wid").orderBy("start", "bit")
     moved = moved.withColumn("other", F.lag("bit").over(w) != F.col("bit")).withColumn("gap", F.col("start") - F.lag("start").over(w))
     close = moved.where(F.col("alone") | (F.col("other") & (F.col("gap") <= slop)))
@@ -90,11 +99,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ident, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     # A row is known by its id and a hash of id and text, so that rows without an id, or with one id, stay apart.
     key = (F.coalesce(ident, F.lit(0)).alias("k1"), F.xxhash64(ident, text).alias("k2"), ident.isNull().alias("bare"))
-    rows = stash.put(docs.select(*key, words(F.col(text_col)).alias("ws"))).repartition("k1", "k2")
+    lines = stash.put(docs.select(*key, F.array_join(words(F.col(text_col)), " ").alias("line")))
     wins = stash.put(windows(items, size=size))
-    met = matches(rows, wins, stash, slop).join(bounded(wins), "wid")
+    anchored = stash.put(anchors(wins, frequencies(lines, wins)))
+    rows = lines.where("k1 is not null and k2 is not null").repartition("k1", "k2")  # never null, but said so both uses share one shuffle
+    met = matches(rows, anchored, slop).join(bounded(wins), "wid")
     per_doc = met.groupBy(*KEY).agg(F.collect_list(F.struct(F.when(F.size("starts") > 0, F.col("win")).alias("win"), "items", "starts")).alias("cand")).drop("bare")
-    full = rows.join(per_doc.hint("merge"), ["k1", "k2"], "left")
+    full = rows.join(per_doc.hint("merge"), ["k1", "k2"], "left").select(*KEY, "cand", split_words("line").alias("ws"))
     found = F.transform("cand", lambda c: F.struct(c["items"].alias("items"), F.size(c["win"]).alias("n"), F.filter(c["starts"], lambda s: F.slice("ws", s + 1, F.size(c["win"])) == c["win"]).alias("starts")))
     full = full.select(*KEY, F.size("ws").cast("long").alias("n_words"), found.alias("cand"))
     hits = F.filter("cand", lambda c: F.size(c["starts"]) > 0)
