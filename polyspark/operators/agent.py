@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .timeseries import rollup
 from .vector import cosine_distance, vector_search
 
@@ -33,10 +37,20 @@ def collect_garbage(memory: DataFrame, now_ms: int) -> DataFrame:
 
 
 def new_semantic(existing: DataFrame, incoming: DataFrame, distance: float = 0.02) -> DataFrame:
-    """Incoming memories that are no near copy of one that the same agent has."""
+    """Incoming memories that are no near copy of one that the same agent has, nor of an incoming one that is taken before (by id)."""
     old = existing.where("tier = 'semantic'").select("agent_id", F.col("embedding").alias("_e"))
     near = incoming.join(old, "agent_id").where(cosine_distance("embedding", "_e") <= distance).select("id").distinct()
-    return incoming.join(near, "id", "left_anti")
+    new = stored(incoming.join(near, "id", "left_anti").select(incoming.columns))
+    a, b = (new.select("agent_id", F.col("id").alias(i), F.col("embedding").alias(e)) for i, e in (("id", "_a"), ("before", "_b")))
+    open_ = stored(a.join(b, "agent_id").where("before < id").where(cosine_distance("_a", "_b") <= distance).select("id", "before"))
+    out = new
+    while not open_.isEmpty():
+        # What has no open earlier neighbour is taken, and what is near a taken one goes.
+        gone = stored(open_.join(open_.select(F.col("id").alias("before")).distinct(), "before", "left_anti").select("id").distinct())
+        out = out.join(gone, "id", "left_anti")
+        open_ = open_.join(gone, "id", "left_anti")
+        open_ = stored(open_.join(gone.select(F.col("id").alias("before")), "before", "left_anti").select("id", "before"))
+    return out.select(incoming.columns)
 
 
 def session_events(trace: DataFrame, session: str) -> DataFrame:
@@ -69,18 +83,27 @@ def _entry_hash(prev):
 
 
 def audit_chain(log: DataFrame) -> DataFrame:
-    """Entries with prev_hash and hash: in each session every hash covers the one before. A session is one ordered fold."""
-    entry = F.struct("seq", "ts", "actor", "action", "details")
-    rows = log.groupBy("session_id").agg(F.array_sort(F.collect_list(entry)).alias("es"))
-
-    def step(acc, e):
-        prev = F.coalesce(F.get(acc, F.size(acc) - 1)["hash"], F.lit(""))
-        h = F.sha2(F.concat_ws("|", prev, e["seq"].cast("string"), e["ts"].cast("string"), e["actor"], e["action"], e["details"]), 256)
-        return F.concat(acc, F.array(F.struct(e["seq"].alias("seq"), e["ts"].alias("ts"), e["actor"].alias("actor"), e["action"].alias("action"), e["details"].alias("details"), prev.alias("prev_hash"), h.alias("hash"))))
+    """Entries with prev_hash and hash: in each session every hash covers the one before.
 
+    Sessions are sorted, and a task walks its sorted rows batch by batch with the last hash in hand, so no session is gathered.
+    """
+    names = ["session_id", "seq", "ts", "actor", "action", "details"]
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
-    zero = F.expr("cast(array() as array<struct<" + ",".join(f"{c}:{kinds[c]}" for c in ("seq", "ts", "actor", "action", "details")) + ",prev_hash:string,hash:string>>)")
-    return rows.select("session_id", F.inline(F.aggregate("es", zero, step)))
+    rows = log.select(*names).repartition("session_id").sortWithinPartitions("session_id", "seq")
+
+    def walk(batches):
+        session, prev = None, ""
+        for batch in batches:
+            before, hashes = [], []
+            for values in zip(*(batch.column(k).to_pylist() for k in range(len(names)))):
+                if values[0] != session:
+                    session, prev = values[0], ""
+                before.append(prev)
+                prev = hashlib.sha256("|".join([prev, *(str(v) for v in values[1:] if v is not None)]).encode()).hexdigest()
+                hashes.append(prev)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], [*names, "prev_hash", "hash"])
+
+    return rows.mapInArrow(walk, ", ".join(f"{c} {kinds[c]}" for c in names) + ", prev_hash string, hash string")
 
 
 def audit_breaks(chain: DataFrame) -> DataFrame:
@@ -90,6 +113,11 @@ def audit_breaks(chain: DataFrame) -> DataFrame:
     return marked.where((F.col("prev_hash") != F.col("_before")) | (F.col("hash") != _entry_hash(F.col("prev_hash")))).drop("_before")
 
 
+def provenance_history(facts: DataFrame, fact) -> DataFrame:
+    """All records of a fact, oldest first."""
+    return facts.where(F.col("fact_ref") == F.lit(fact)).orderBy("seq")
+
+
 def provenance_latest(facts: DataFrame) -> DataFrame:
     return facts.groupBy("fact_ref").agg(F.max_by(F.struct("source", "confidence", "seq", "ts"), "seq").alias("p")).select("fact_ref", "p.*")
 

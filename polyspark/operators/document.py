@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -158,7 +158,8 @@ def _match(spec: dict) -> Column:
     return out
 
 
-def _accumulator(spec: dict, order: list[Column]) -> Column:
+def _accumulator(spec: dict, ordered: bool) -> Column:
+    """``_pos`` is a row's place in its group where rows are ordered."""
     (op, arg), = spec.items()
     if op == "$count":
         return F.count(F.lit(1)).cast("double")
@@ -171,18 +172,17 @@ def _accumulator(spec: dict, order: list[Column]) -> Column:
     if op == "$max":
         return F.max(_value(arg))
     if op == "$first":
-        return F.min_by(_value(arg), F.struct(*order)) if order else F.first(_value(arg))
+        return F.min_by(_value(arg), "_pos") if ordered else F.first(_value(arg))
     if op == "$push":
-        items = F.collect_list(F.struct(*order, F.struct(_value(arg).alias("v")).alias("_v")))
-        return F.transform(F.array_sort(items) if order else items, lambda x: x["_v"]["v"])
+        items = F.collect_list(F.struct(*(["_pos"] if ordered else []), _value(arg).alias("v")))
+        return F.transform(F.array_sort(items) if ordered else items, lambda x: x["v"])
     raise ValueError(f"unknown accumulator: {op}")
 
 
 def run_pipeline(df: DataFrame, stages: list[dict] | str, order_by: list[str] | None = None) -> DataFrame:
     """$match, $group, $project, $sort, $limit and $skip as DataFrame operations. ``order_by`` is the row order for $first and $push when no $sort precedes."""
     stages = json.loads(stages) if isinstance(stages, str) else stages
-    order = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by or [])]
-    sorts: list[Column] = []
+    sorts = [F.col(c) for c in order_by or []]
     for stage in stages:
         if len(stage) != 1:
             raise ValueError("a stage has one key")
@@ -195,8 +195,13 @@ def run_pipeline(df: DataFrame, stages: list[dict] | str, order_by: list[str] |
                 key = F.to_json(F.struct(*(_value(v).alias(k) for k, v in key.items())), {"ignoreNullFields": "false"})
             else:
                 key = _value(key)
-            df = df.groupBy(key.alias("_id")).agg(*(_accumulator(v, order).alias(k) for k, v in spec.items() if k != "_id"))
-            order, sorts = [], []
+            made = {k: v for k, v in spec.items() if k != "_id"}
+            ordered = bool(sorts) and any(op in ("$first", "$push") for v in made.values() for op in v)
+            df = df.withColumn("_key", key)
+            if ordered:
+                df = df.withColumn("_pos", F.row_number().over(Window.partitionBy("_key").orderBy(*sorts)))
+            df = df.groupBy(F.col("_key").alias("_id")).agg(*(_accumulator(v, ordered).alias(k) for k, v in made.items()))
+            sorts = []
         elif op == "$project":
             drop = [k for k, v in spec.items() if v in (0, False) and not isinstance(v, str)]
             keep = ["_id"] if "_id" in df.columns and "_id" not in spec else []
@@ -206,7 +211,6 @@ def run_pipeline(df: DataFrame, stages: list[dict] | str, order_by: list[str] |
                 df = df.select(*keep, *((F.col(k) if v is True or v == 1 else _value(v)).alias(k) for k, v in spec.items() if k not in drop))
         elif op == "$sort":
             sorts = [F.col(k).asc() if v > 0 else F.col(k).desc() for k, v in spec.items()]
-            order = [(F.col(k) if v > 0 else -F.col(k)).alias(f"_o{i}") for i, (k, v) in enumerate(spec.items())]
             df = df.orderBy(*sorts)
         elif op == "$limit":
             df = df.limit(spec)
@@ -226,8 +230,8 @@ def _is_kind(v, kind: str) -> bool:
     if kind == "number":
         return isinstance(v, (int, float)) and not isinstance(v, bool)
     if kind == "integer":
-        return isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer()
-    return isinstance(v, KINDS[kind])
+        return isinstance(v, int) and not isinstance(v, bool)  # 1.0 is a number but no integer
+    return kind not in KINDS or isinstance(v, KINDS[kind])  # an unknown name accepts everything
 
 
 def schema_violations(v, schema: dict, at: str = "$") -> list[str]:

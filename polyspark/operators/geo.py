@@ -28,13 +28,14 @@ KINDS = ("POINT", "LINESTRING", "POLYGON")
 
 def parse_wkt(text: str):
     """(srid, kind, rings) of (E)WKT; None for what is not a point, line or polygon."""
-    m = re.fullmatch(r"\s*(?:SRID=(\d+);)?\s*(POINT|LINESTRING|POLYGON)\s*(?:Z|M|ZM)?\s*(EMPTY|\(.*\))\s*", text or "", re.I | re.S)
+    m = re.fullmatch(r"\s*(?:SRID=(\d+);)?\s*(POINT|LINESTRING|POLYGON)\s*(ZM|Z|M)?\s*(EMPTY|\(.*\))\s*", text or "", re.I | re.S)
     if not m:
         return None
     srid, kind = int(m[1] or 0), m[2].upper()
-    if m[3].upper() == "EMPTY":
+    if m[4].upper() == "EMPTY":
         return srid, kind, []
-    body = m[3][1:-1]
+    body = m[4][1:-1]
+    measured = (m[3] or "").upper() == "M"
     parts = re.findall(r"\(([^()]*)\)", body) if kind == "POLYGON" else [body]
     try:
         rings = [[tuple(float(v) for v in p.split()) for p in part.split(",")] for part in parts]
@@ -42,7 +43,8 @@ def parse_wkt(text: str):
         return None
     if not rings or any(not 2 <= len(p) <= 4 for r in rings for p in r):
         return None
-    return srid, kind, [[p + (None,) * (4 - len(p)) for p in r] for r in rings]
+    full = lambda p: (*p[:2], None, p[2]) if measured and len(p) == 3 else p + (None,) * (4 - len(p))
+    return srid, kind, [[full(p) for p in r] for r in rings]
 
 
 def _number(v: float) -> str:
@@ -54,8 +56,10 @@ def print_wkt(srid: int, kind: str, rings, with_srid: bool = False) -> str:
     if not rings:
         return f"{head}{kind} EMPTY"
     point = lambda p: " ".join(_number(v) for v in p if v is not None)
+    tag = "".join(t for t, k in (("Z", 2), ("M", 3)) if any(p[k] is not None for r in rings for p in r))
+    kind = f"{kind} {tag}" if tag else kind
     parts = [", ".join(point(p) for p in r) for r in rings]
-    return f"{head}{kind}(" + (", ".join(f"({p})" for p in parts) if kind == "POLYGON" else parts[0]) + ")"
+    return f"{head}{kind}(" + (", ".join(f"({p})" for p in parts) if kind.startswith("POLYGON") else parts[0]) + ")"
 
 
 def to_wkb(srid: int, kind: str, rings, with_srid: bool = False) -> bytes:
@@ -126,6 +130,17 @@ def st_parse(text) -> Column:
     return F.pandas_udf(_parsed, GEOMETRY)(_c(text))
 
 
+def st_literal(text: str) -> Column:
+    """A constant geometry: parsed once, here, and part of the plan as a value."""
+    g = parse_wkt(text)
+    if g is None:
+        raise ValueError(f"not a geometry: {text!r}")
+    number = lambda v, n: F.lit(v).cast("double").alias(n)
+    point = lambda p: F.struct(*(number(v, n) for v, n in zip(p, "xyzt")))
+    rings = F.array(*(F.array(*(point(p) for p in r)) for r in g[2])) if g[2] else F.expr(f"cast(array() as array<array<{POINT}>>)")
+    return F.struct(F.lit(g[0]).alias("srid"), F.lit(g[1]).alias("kind"), rings.alias("rings"))
+
+
 def st_from_wkb(hexed) -> Column:
     """The parsed geometry of (E)WKB in hex text."""
     return F.udf(lambda h: _row(from_wkb(bytes.fromhex(h))) if h else None, GEOMETRY, useArrow=True)(_c(hexed))
@@ -376,6 +391,16 @@ def hex_ring(cell: Column, k: int) -> Column:
     return F.array(*(F.struct((cell["q"] + q).alias("q"), (cell["r"] + r).alias("r")) for q, r in moves))
 
 
+def hex_center(cell: Column, size: float):
+    """Planar place of a cell's centre: (x, y)."""
+    return size * math.sqrt(3) * (cell["q"] + cell["r"] / 2), size * 1.5 * cell["r"]
+
+
+def hex_size_for_radius(radius: float, rings: int = 1) -> float:
+    """The least cell size with which ``rings`` rings round a place's cell hold everything within the radius."""
+    return radius / (1.5 * rings)
+
+
 def project(lon, lat, width: float, height: float):
     """Equirectangular place on a map of the given size: (x, y) from the upper left."""
     return (_c(lon) + 180) / 360 * width, (90 - _c(lat)) / 180 * height

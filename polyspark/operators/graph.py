@@ -6,18 +6,11 @@ Iterations write their frontier to the shared checkpoint folder, so plans stay s
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A copy of df without its history, in the session's checkpoint folder (an own one only where none is set)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="polyspark-"))
-    return df.checkpoint()
+from ..shared import stored
 
 
 def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -45,14 +38,14 @@ def bfs(edges: DataFrame, start, depth: int = 10, direction: str = "out") -> Dat
     """(vertex, depth) of everything within ``depth`` steps; an unknown start gives no rows."""
     step = directed(edges, direction).select("src", "dst").distinct()
     kind = edges.schema["src"].dataType
-    seen = _cut(vertices(edges).where(F.col("vertex") == F.lit(start)).select(F.col("vertex").cast(kind), F.lit(0).alias("depth")))
-    front = seen
+    front = stored(vertices(edges).where(F.col("vertex") == F.lit(start)).select(F.col("vertex").cast(kind), F.lit(0).alias("depth")))
+    seen = front  # the union of the steps' own tables: nothing seen is written again
     for d in range(1, depth + 1):
         front = front.select(F.col("vertex").alias("src")).join(step, "src").select(F.col("dst").alias("vertex")).distinct().join(seen, "vertex", "left_anti")
-        front = _cut(front.withColumn("depth", F.lit(d)))
+        front = stored(front.withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -62,16 +55,16 @@ def shortest_path(edges: DataFrame, a, b, direction: str = "both", most: int = 1
     empty = vertices(edges).limit(0).select(F.lit(0).alias("step"), "vertex")
     if vertices(edges).where(F.col("vertex").isin(a, b)).select("vertex").distinct().count() < len({a, b}):
         return empty
-    seen = _cut(vertices(edges).where(F.col("vertex") == F.lit(a)).select("vertex", F.lit(None).cast(edges.schema["src"].dataType).alias("before"), F.lit(0).alias("depth")))
+    seen = stored(vertices(edges).where(F.col("vertex") == F.lit(a)).select("vertex", F.lit(None).cast(edges.schema["src"].dataType).alias("before"), F.lit(0).alias("depth")))
     front = seen
     for d in range(most):
         if not front.where(F.col("vertex") == F.lit(b)).isEmpty():
             break
         front = front.select(F.col("vertex").alias("src")).join(step, "src").groupBy(F.col("dst").alias("vertex")).agg(F.min("src").alias("before"))
-        front = _cut(front.join(seen, "vertex", "left_anti").withColumn("depth", F.lit(d + 1)))
+        front = stored(front.join(seen, "vertex", "left_anti").withColumn("depth", F.lit(d + 1)))
         if front.isEmpty():
             return empty
-        seen = _cut(seen.unionByName(front))
+        seen = stored(seen.unionByName(front))
     path, at = [], b
     while at is not None:  # one lookup for each step of the path
         row = seen.where(F.col("vertex") == F.lit(at)).first()
@@ -83,13 +76,13 @@ def shortest_path(edges: DataFrame, a, b, direction: str = "both", most: int = 1
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(vertex, component): weak components, named by their smallest vertex; minimum labels with pointer jumping."""
-    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
-    label = _cut(vertices(edges).select("vertex", F.col("vertex").alias("component")))
+    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    label = stored(vertices(edges).select("vertex", F.col("vertex").alias("component")))
     while True:
         near = both.join(label.select(F.col("vertex").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("vertex")).agg(F.min("component").alias("c"))
         new = label.join(near, "vertex", "left").select("vertex", F.least("component", "c").alias("c1"))
         jump = new.select(F.col("vertex").alias("c1"), F.col("c1").alias("c2"))
-        new = _cut(new.join(jump, "c1", "left").select("vertex", F.least("c1", "c2").alias("component")))
+        new = stored(new.join(jump, "c1", "left").select("vertex", F.least("c1", "c2").alias("component")))
         changed = new.join(label.withColumnRenamed("component", "old"), "vertex").where("component <> old").isEmpty()
         label = new
         if changed:
@@ -99,8 +92,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """(vertex, score): start 1/n, the mass of vertices without out-edges spread evenly, multi-edges weigh, no early stop."""
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    weighted = _cut(edges.groupBy("src", "dst").agg(F.count("*").alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("deg")).alias("share")))
-    nodes = _cut(vertices(edges).join(out.select(F.col("src").alias("vertex"), F.lit(True).alias("has_out")), "vertex", "left"))
+    weighted = stored(edges.groupBy("src", "dst").agg(F.count("*").alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("deg")).alias("share")))
+    nodes = stored(vertices(edges).join(out.select(F.col("src").alias("vertex"), F.lit(True).alias("has_out")), "vertex", "left"))
     n = nodes.count()
     if not n:
         return nodes.select("vertex", F.lit(0.0).alias("score"))
@@ -110,7 +103,7 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
         given = weighted.join(score.select(F.col("vertex").alias("src"), "score"), "src").groupBy(F.col("dst").alias("vertex")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         score = nodes.join(given, "vertex", "left").crossJoin(F.broadcast(lost)).select("vertex", "has_out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
         if i % 4 == 3:
-            score = _cut(score)
+            score = stored(score)
     return score.select("vertex", "score")
 
 
@@ -120,7 +113,7 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     deg = e.select(F.col("a").alias("v")).union(e.select("b")).groupBy("v").agg(F.count("*").alias("d"))
     e = e.join(deg.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
     low = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    e = _cut(e.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v")))
+    e = stored(e.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v")))
     wedge = e.select("u", F.col("v").alias("x")).join(e.select("u", F.col("v").alias("y")), "u").where("x <> y")
     closed = wedge.join(e.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
     count = closed.select(F.explode(F.array("u", "x", "y")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("triangles"))
@@ -129,12 +122,12 @@ def triangle_count(edges: DataFrame) -> DataFrame:
 
 def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
     """(vertex, label): each round every vertex takes its neighbours' most frequent label, the smallest on a tie."""
-    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")))
+    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")))
     label = vertices(edges).select("vertex", F.col("vertex").alias("label"))
     for _ in range(iterations):
         votes = both.join(label.select(F.col("vertex").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("vertex"), "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("vertex").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("vertex", F.col("b.label").alias("new"))
-        label = _cut(label.join(best, "vertex", "left").select("vertex", F.coalesce("new", "label").alias("label")))
+        label = stored(label.join(best, "vertex", "left").select("vertex", F.coalesce("new", "label").alias("label")))
     return label
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import numbered, stored
+
 
 def upsert(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The row with the highest sequence of each key, as a grouped maximum (combined on the map side)."""
@@ -88,12 +90,8 @@ class Sequence:
         return value
 
     def assign(self, df: DataFrame, name: str, *order: str) -> DataFrame:
-        """Consecutive ids: numbers within range partitions, shifted by the partitions before (one row for each partition)."""
+        """Consecutive ids in the given order; no task sees more than its range of the rows."""
         first = self.nextval()
-        parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-        parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-        sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-        before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        out = parts.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn(name, F.lit(first) + (F.col("_i") + F.col("_b") - 1) * self.step)
-        self.value = first + (df.count() - 1) * self.step
-        return out.drop("_p", "_i", "_b")
+        out = stored(numbered(df, [], list(order), "_i"))
+        self.value = first + (out.count() - 1) * self.step
+        return out.select(*df.columns, (F.lit(first) + F.col("_i") * self.step).alias(name))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 K1, B = 1.2, 0.75
+TOKEN = r"[\p{L}\p{N}]"
 
 
 def tokens(text: Column | str) -> Column:
@@ -15,8 +20,6 @@ def tokens(text: Column | str) -> Column:
 
 
 def query_tokens(query: str) -> list[str]:
-    import re
-
     return [t for t in re.split(r"[^\w]+|_", query.lower()) if t]
 
 
@@ -29,24 +32,39 @@ def json_leaves(doc: Column | str) -> Column:
     return F.when(F.try_parse_json(doc).isNull(), doc).otherwise(F.array_join(strings, " "))
 
 
+def _whole(word: str) -> str:
+    """A pattern of the word as a whole token."""
+    return rf"(?<!{TOKEN})\Q{word}\E(?!{TOKEN})"
+
+
 def text_search(docs: DataFrame, key: str, text: str, query: str, is_json: bool = False) -> DataFrame:
-    """Keys of the documents that hold every token of the query; an empty query finds nothing."""
-    wanted = query_tokens(query)
+    """Keys of the documents that hold every token of the query; an empty query finds nothing.
+
+    A plain substring test goes before each pattern, so most texts are settled without cutting them into tokens.
+    """
+    wanted = sorted(set(query_tokens(query)))
     if not wanted:
         return docs.select(key).limit(0)
-    have = tokens(json_leaves(text) if is_json else text)
-    return docs.where(F.forall(F.lit(wanted), lambda t: F.array_contains(have, t))).select(key)
+    low = F.lower(json_leaves(text) if is_json else F.col(text))
+    hit = F.lit(True)
+    for w in wanted:
+        hit = hit & F.contains(low, F.lit(w))
+    for w in wanted:
+        hit = hit & low.rlike(_whole(w))
+    return docs.where(hit).select(key)
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """(key, score) of documents with any query token; a token that the query repeats counts as often.
 
-    One pass makes a row of term counts per document without exploding it; statistics are a few numbers per query term.
+    One pass over the texts makes a narrow row of token counts for each document, which is stored; statistics (one row) and
+    scores come from these rows.
     """
     terms = query_tokens(query)
     unique = sorted(set(terms))
-    rows = docs.select(key, tokens(text).alias("_t"))
-    rows = rows.select(key, F.size("_t").alias("_dl"), *(F.size(F.filter("_t", _is(w))).alias(f"_tf{i}") for i, w in enumerate(unique)))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    count = lambda w: F.when(F.contains(low, F.lit(w)), F.regexp_count(low, F.lit(_whole(w)))).otherwise(0)
+    rows = stored(docs.select(key, F.regexp_count(low, F.lit(TOKEN + "+")).alias("_dl"), *(count(w).alias(f"_tf{i}") for i, w in enumerate(unique))), "bm25")
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *(F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"_df{i}") for i in range(len(unique))))
     score = F.lit(0.0)
     for i, w in enumerate(unique):
@@ -54,11 +72,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
         idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5) + 1)
         score = score + terms.count(w) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
     hit = F.greatest(*(F.col(f"_tf{i}") for i in range(len(unique))), F.lit(0)) > 0 if unique else F.lit(False)
-    return rows.crossJoin(F.broadcast(stats)).where(hit).select(key, score.alias("score"))
-
-
-def _is(word: str):
-    return lambda t: t == word
+    return rows.where(hit).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
 
 
 def bm25_topk(docs: DataFrame, key: str, text: str, query: str, k: int = 10) -> DataFrame:

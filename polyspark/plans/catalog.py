@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import domain, relational
-
+from . import domain, relational, wider
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +31,5 @@ FROM (SELECT epoch_us(ts) // 1000 - epoch_us(ts) // 1000 % 86400000 AS bucket, e
 GROUP BY bucket, event_type HAVING count(*) > 1
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"daily_revenue": flagship} | relational.QUERIES | domain.QUERIES
-ORACLE_SQL: dict[str, str] = {"daily_revenue": FLAGSHIP_SQL} | relational.ORACLE_SQL | domain.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"daily_revenue": flagship} | relational.QUERIES | domain.QUERIES | wider.QUERIES
+ORACLE_SQL: dict[str, str] = {"daily_revenue": FLAGSHIP_SQL} | relational.ORACLE_SQL | domain.ORACLE_SQL | wider.ORACLE_SQL

@@ -331,9 +331,9 @@ def st_dwithin_join(spark, d):
 
 
 def st_within(spark, d):
-    box = geo.st_parse(F.lit("POLYGON((-100 -40, -60 50, 120 60, 80 -50, -100 -40))"))
-    c = _places(spark, d, "customer", "c_custkey").withColumn("poly", box)
-    return c.where(geo.st_within(geo.st_point("c_custkey_x", "c_custkey_y"), "poly")).select("c_custkey")
+    box = geo.st_literal("POLYGON((-100 -40, -60 50, 120 60, 80 -50, -100 -40))")
+    c = _places(spark, d, "customer", "c_custkey")
+    return c.where(geo.st_within(geo.st_point("c_custkey_x", "c_custkey_y"), box)).select("c_custkey")
 
 
 def st_area_length(spark, d):

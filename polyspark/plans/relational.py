@@ -21,6 +21,10 @@ TEXTS = {
     "right_join": "SELECT c_custkey, o_orderkey FROM {orders} RIGHT JOIN {customer} ON o_custkey = c_custkey AND o_totalprice > 150000",
     "full_join": "SELECT a.c_custkey AS left_key, b.s_suppkey AS right_key FROM {customer} a FULL JOIN {supplier} b ON a.c_custkey = b.s_suppkey * 3",
     "cross_join": "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}",
+    "star_select": "SELECT * FROM {nation}",
+    "table_star": "SELECT n.*, r.r_name FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey",
+    "nested_loop_join": "SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM {supplier} a JOIN {supplier} b ON a.s_acctbal < b.s_acctbal - 9500",
+    "bool_logic": "SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS as_int, CAST(CAST(o_orderkey % 2 AS INT) AS BOOLEAN) AS odd, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 'true' ELSE 'false' END AS BOOLEAN) AS third FROM {orders}",
     "theta_join": "SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal",
     "semi_exists": "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
     "anti_not_exists": "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
@@ -57,11 +61,17 @@ TEXTS = {
 SPARK_ONLY = {
     "regex_posix": "SELECT p_partkey, p_name RLIKE '^[a-m]' AS m, NOT p_name RLIKE 'e' AS no_e, p_name RLIKE '(?i)A' AS any_a FROM {part}",
     "integer_division": "SELECT o_orderkey, o_orderkey DIV 7 AS whole FROM {orders}",
+    "bool_cast": "SELECT o_orderkey, TRY_CAST(element_at(array('t', 'true', 'yes', '1', 'f', 'false', 'no', '0', 'maybe', NULL), CAST(o_orderkey % 10 + 1 AS INT)) AS BOOLEAN) AS b FROM {orders}",
+    "current_time": "SELECT now() >= TIMESTAMP '2020-01-01' AS after_2020, current_date() = CAST(now() AS DATE) AS same_day",
     "text_to_bool": "SELECT o_orderkey, TRY_CAST(o_orderstatus AS BIGINT) AS as_number, CAST(CAST(o_totalprice AS BIGINT) AS BIGINT) AS whole FROM {orders} WHERE o_totalprice = floor(o_totalprice) OR o_orderkey % 5 = 0",
 }
 CHECK_ONLY = {
     "regex_posix": "SELECT p_partkey, regexp_matches(p_name, '^[a-m]') AS m, NOT regexp_matches(p_name, 'e') AS no_e, regexp_matches(p_name, 'A', 'i') AS any_a FROM part",
     "integer_division": "SELECT o_orderkey, o_orderkey // 7 AS whole FROM orders",
+    "bool_cast": "SELECT o_orderkey, TRY_CAST(element_at(array('t', 'true', 'yes', '1', 'f', 'false', 'no', '0', 'maybe', NULL), CAST(o_orderkey % 10 + 1 AS INT)) AS BOOLEAN) AS b FROM {orders}",
+    "current_time": "SELECT now() >= TIMESTAMP '2020-01-01' AS after_2020, current_date() = CAST(now() AS DATE) AS same_day",
+    "bool_cast": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 4 THEN true WHEN o_orderkey % 10 < 8 THEN false END AS b FROM orders",
+    "current_time": "SELECT true AS after_2020, true AS same_day",
     "text_to_bool": "SELECT o_orderkey, TRY_CAST(o_orderstatus AS BIGINT) AS as_number, CAST(trunc(o_totalprice) AS BIGINT) AS whole FROM orders WHERE o_totalprice = floor(o_totalprice) OR o_orderkey % 5 = 0",
     "fk_check": "SELECT l_orderkey, l_linenumber FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey",
 }

@@ -18,11 +18,14 @@ def read_copy(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     parts = F.split("value", "\t", -1)
 
     def field(i: int):
-        v = F.get(parts, F.lit(i))
-        v = F.replace(v, F.lit("\\\\"), F.lit("\u0001"))
-        for code, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
-            v = F.replace(v, F.lit(code), F.lit(char))
-        return F.when(F.get(parts, F.lit(i)) != "\\N", F.replace(v, F.lit("\u0001"), F.lit("\\")))
+        def plain(v):
+            for code, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+                v = F.replace(v, F.lit(code), F.lit(char))
+            return v
+
+        # Between escaped backslashes every backslash begins another escape.
+        pieces = F.split(F.get(parts, F.lit(i)), r"\\\\", -1)
+        return F.when(F.get(parts, F.lit(i)) != "\\N", F.array_join(F.transform(pieces, plain), "\\"))
 
     return raw.select(*(field(i).cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)))
 
@@ -50,8 +53,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Files with a JSON array of flat objects, or one object a line."""
-    reader = spark.read.option("multiLine", True)
+    """Files with a JSON array of flat objects each, or with one object a line; the first line that is not blank tells which."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    reader = spark.read.option("multiLine", bool(first) and first.value.lstrip().startswith("["))
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -82,8 +86,22 @@ TYPE_MAPS = {
 }
 
 
-def map_type(system: str, name: str) -> str:
-    return TYPE_MAPS[system].get(name.lower().split("(")[0].strip(), "string")
+#: Types of the standard numeric codes that ODBC catalogs give.
+ODBC_TYPES = {2: "decimal(38,10)", 3: "decimal(38,10)", 4: "int", 5: "smallint", -6: "smallint", -5: "bigint", 7: "float", 6: "double", 8: "double", -7: "boolean", -2: "binary", -3: "binary", -4: "binary", 91: "date", 9: "timestamp", 93: "timestamp"}
+
+
+def map_type(system: str, name: str | int) -> str:
+    """The type here of a type there. Some systems have a meaning for a width (MySQL's tinyint(1)) or an unsigned prefix."""
+    if system == "odbc":
+        return ODBC_TYPES.get(int(name), "string")
+    name = name.lower().strip()
+    if system == "mysql" and name == "tinyint(1)":
+        return "boolean"
+    if system == "postgis":
+        if name in ("geometry", "geography", "geometry_dump"):
+            return "string"  # well-known text
+        system = "postgres"
+    return TYPE_MAPS[system].get(name.split("(")[0].strip().removeprefix("unsigned ").removeprefix("_"), "string")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 16, **options) -> DataFrame:

@@ -7,6 +7,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import numbered
+
+OFFSET = "reader string, partition int, next_offset long, at long"
 RECORD = "topic string, partition int, offset long, key string, value string, timestamp_ms long"
 
 
@@ -17,13 +20,15 @@ class Topic:
         self.spark, self.name, self.partitions = spark, name, partitions
         self.path = f"{root.rstrip('/')}/{name}"
         self.retention_ms, self.retention_bytes = retention_ms, retention_bytes
-        self.committed: dict[tuple[str, int], int] = {}
 
-    def read(self) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _table(self, path: str, schema: str) -> DataFrame:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], RECORD)
-        return self.spark.read.schema(RECORD).parquet(self.path)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def read(self) -> DataFrame:
+        return self._table(self.path, RECORD)
 
     def publish(self, records: DataFrame) -> None:
         """``records``: key, value and optionally timestamp_ms. Keys decide the partition; records without one are spread."""
@@ -32,17 +37,23 @@ class Topic:
         spread = F.pmod(F.when(F.col("key").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("key")), F.lit(self.partitions)).cast("int")
         base = self.read().groupBy("partition").agg((F.max("offset") + 1).alias("base"))
         rows = records.select(F.lit(self.name).alias("topic"), spread.alias("partition"), F.col("key").cast("string"), F.col("value").cast("string"), ts.alias("timestamp_ms"))
-        rows = rows.join(F.broadcast(base), "partition", "left")
-        place = F.row_number().over(Window.partitionBy("partition").orderBy("timestamp_ms", "key", "value")) - 1
-        rows.withColumn("offset", (place + F.coalesce("base", F.lit(0))).cast("long")).select("topic", "partition", "offset", "key", "value", "timestamp_ms").write.mode("append").parquet(self.path)
+        # One row of base for each topic partition, whose number is given: small whatever the records.
+        rows = numbered(rows, ["partition"], ["timestamp_ms", "key", "value"], "place").join(F.broadcast(base), "partition", "left")
+        rows.withColumn("offset", (F.col("place") + F.coalesce("base", F.lit(0))).cast("long")).select("topic", "partition", "offset", "key", "value", "timestamp_ms").write.mode("append").parquet(self.path)
 
     def poll(self, group: str, partition: int, limit: int) -> DataFrame:
         """The next records after the group's committed offset; the same ones again until they are committed."""
-        start = self.committed.get((group, partition), 0)
+        start = self.committed(group, partition)
         return self.read().where((F.col("partition") == partition) & (F.col("offset") >= start)).orderBy("offset").limit(limit)
 
     def commit(self, group: str, partition: int, next_offset: int) -> None:
-        self.committed[(group, partition)] = next_offset
+        """Offsets lie beside the topic and outlive this object and its driver; the last commit counts."""
+        row = self.spark.createDataFrame([(group, partition, next_offset, time.time_ns())], OFFSET)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}.offsets")
+
+    def committed(self, group: str, partition: int) -> int:
+        of = self._table(f"{self.path}.offsets", OFFSET).where((F.col("reader") == group) & (F.col("partition") == partition))
+        return of.agg(F.max_by("next_offset", "at").alias("n")).first().n or 0
 
     def retained(self) -> DataFrame:
         out = self.read()
@@ -55,7 +66,7 @@ class Topic:
 
 def retained_by_time(log: DataFrame, retention_ms: int) -> DataFrame:
     """Records not older than the newest one of their partition less the retention."""
-    newest = log.groupBy("partition").agg(F.max("timestamp_ms").alias("_newest"))
+    newest = log.groupBy("partition").agg(F.max("timestamp_ms").alias("_newest"))  # a row for each topic partition
     return log.join(F.broadcast(newest), "partition").where(F.col("timestamp_ms") >= F.col("_newest") - retention_ms).drop("_newest")
 
 

@@ -60,6 +60,7 @@ def test_topic(spark, tmp_path):
     part = t.read().where("key = 'a'").first()["partition"]
     assert [r.offset for r in t.poll("g", part, 1).collect()] == [0]
     t.commit("g", part, 1)
+    t = topics.Topic(spark, f"file://{tmp_path}", "news", partitions=2)  # offsets outlive the object
     assert [r.offset for r in t.poll("g", part, 1).collect()] == [1]
 
 
@@ -138,6 +139,8 @@ def test_pipeline(spark):
     assert [tuple(r) for r in got.where("_id = 'eng'").collect()] == [("eng", 300.0, 2.0, 150.0, ["a", "b"])]
     assert [r.name for r in document.run_pipeline(docs, [{"$sort": {"amount": -1}}, {"$skip": 1}, {"$limit": 2}]).collect()] == ["d", "a"]
     assert document.run_pipeline(docs, [{"$match": {"amount": {"$in": [50, 100]}, "dept": {"$ne": "eng"}}}]).count() == 1
+    top = document.run_pipeline(docs, [{"$sort": {"name": -1}}, {"$group": {"_id": "$dept", "f": {"$first": "$name"}, "all": {"$push": "$name"}}}])
+    assert values(top, "_id", "f", "all") == [("eng", "b", ["b", "a"]), ("sales", "d", ["d", "c"])]
     with pytest.raises(ValueError):
         document.run_pipeline(docs, [{"$what": 1}])
 
@@ -154,6 +157,10 @@ def test_geometry(spark):
     assert tuple(back) == ("POLYGON((0 0, 0 10, 10 10, 10 0, 0 0))", True)
     trip = g.select(geo.st_transform(geo.st_transform("q", 3857), 4326).alias("r")).select(geo.st_x("r").alias("x"), geo.st_y("r").alias("y")).first()
     assert math.isclose(trip.x, 5) and math.isclose(trip.y, 5)
+    forms = ["POINT Z(1 2 3)", "POINT M(1 2 3)", "POINT ZM(1 2 3 4)", "LINESTRING M(0 0 5, 1 1 6)"]
+    w = spark.createDataFrame([(f,) for f in forms], "w string").select("w", geo.st_parse("w").alias("g"))
+    assert all(r.w == r.t == r.b for r in w.select("w", geo.st_as_text("g").alias("t"), geo.st_as_text(geo.st_from_wkb(geo.st_as_ewkb("g"))).alias("b")).collect())
+    assert g.select(geo.st_contains(geo.st_literal("POLYGON((0 0, 0 10, 10 10, 10 0, 0 0))"), "q").alias("x")).first().x
     assert geo.parse_wkt("CIRCLE(0 0)") is None and geo.parse_wkt("POINT EMPTY") == (0, "POINT", [])
     r = g.select(raster.as_raster("p", 2.0, 5.0).alias("r"))
     assert tuple(r.select(raster.width("r"), raster.height("r"), raster.value("r", 0, 0), raster.value("r", 9, 9)).first()) == (5, 2, 1.0, None)
@@ -195,6 +202,9 @@ def test_agent(spark):
     assert values(agent.recall_semantic(m, "a", [1, 0], 5), "content") == ["x"]
     new = spark.createDataFrame([("3", "a", [1.0, 0.001]), ("4", "a", [0.0, 1.0])], "id string, agent_id string, embedding array<double>")
     assert values(agent.new_semantic(m, new), "id") == ["4"]
+    chain = spark.createDataFrame([(str(k), "a", [math.cos(k / 10), math.sin(k / 10)]) for k in range(5, 10)] + [("55", "a", [math.cos(0.5), math.sin(0.5)])], new.schema)
+    assert values(agent.new_semantic(m, chain, 0.006), "id") == ["5", "7", "9"]  # a taken one keeps its neighbours out, these no further ones
+    assert values(agent.provenance_history(spark.createDataFrame([("f", 2), ("f", 1), ("g", 1)], "fact_ref string, seq long"), "f"), "seq") == [1, 2]
 
 
 def test_files(spark, tmp_path):
@@ -205,6 +215,10 @@ def test_files(spark, tmp_path):
     assert files.read_csv(spark, f"{tmp_path}/csv", t.schema).count() == 3
     files.write_json(t, f"{tmp_path}/json")
     assert files.read_json(spark, f"{tmp_path}/json", t.schema).where("v is null").count() == 1
+    assert files.read_json(spark, f"{tmp_path}/json", t.schema).count() == 3
+    (tmp_path / "array.json").write_text('\n [{"id": 1, "v": "a"},\n {"id": 2, "v": null}]')
+    assert files.read_json(spark, f"{tmp_path}/array.json", t.schema).count() == 2
+    assert (files.map_type("mysql", "TINYINT(1)"), files.map_type("mysql", "tinyint(4)"), files.map_type("odbc", -7)) == ("boolean", "smallint", "boolean")
     assert files.migrate(t, f"{tmp_path}/moved", ["id"]).count() == 0
     assert "| 1 " in files.as_text_table(t.na.fill("-"))
     assert files.map_type("postgres", "NUMERIC(10,2)") == "decimal(38,10)" and files.map_type("mysql", "geometry") == "string"
@@ -217,6 +231,8 @@ def test_sql_front(spark):
     got = sql(spark, "SELECT j -> 'a' -> 'b' AS o, j ->> 'k' AS t, j #>> '{a,b,1}' AS p, j ~ 'x' AS m, j !~* 'QQ' AS n FROM docs_j WHERE id = $1", [1]).first()
     assert tuple(got) == ('[7,"x"]', "v", "x", True, True)
     assert rewrite("SELECT 'a -> b' FROM t -- x -> y") == "SELECT 'a -> b' FROM t -- x -> y"
+    got = sql(spark, "SELECT row_key FROM json_path_lookup('docs_j', 'j', 'k', $1) WHERE row_key > $2", ["v", 0]).collect()
+    assert [r.row_key for r in got] == [1]
     q = Query("docs_j").select("id").filter_eq("id", 1).order_by("id", False).limit(5).offset(0)
     assert q.build() == ("SELECT id FROM docs_j WHERE id = ? ORDER BY id DESC LIMIT 5 OFFSET 0", [1])
     assert q.run(spark).count() == q.apply(spark.table("docs_j")).count() == 1
