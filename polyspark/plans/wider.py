@@ -281,7 +281,8 @@ def map_places(spark, d):
 def raster_forms(spark, d):
     k = F.col("s_suppkey") % 5 + 1
     box = geo.st_parse(F.concat(F.lit("POLYGON((0 0, 0 3, "), k.cast("string"), F.lit(" 3, "), k.cast("string"), F.lit(" 0, 0 0))")))
-    r = load(prepare(spark), d, "supplier").select("s_suppkey", box.alias("g")).select("s_suppkey", raster.as_raster("g", 1.0, 1.0, 2.5).alias("r"))
+    g = load(prepare(spark), d, "supplier").select("s_suppkey", box.alias("g"))
+    r = stored(g.select("s_suppkey", raster.as_raster("g", 1.0, 1.0, 2.5).alias("r")))
     back = stored(r.select("s_suppkey", raster.to_hex("r").alias("x"))).select("s_suppkey", raster.from_hex("x").alias("r"))
     return stored(back).select("s_suppkey", raster.width("r").cast("long").alias("w"), raster.height("r").cast("long").alias("h"), raster.value("r", 0, 2).alias("v"), F.length(raster.to_hex("r")).cast("long").alias("size"))
 
