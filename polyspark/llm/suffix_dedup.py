@@ -9,9 +9,9 @@ stand. The windows of one anchor occurrence make a context, one stretch of bytes
    document has end here, and with them all text that occurs once.
 2. Contexts of the remaining anchors go to buckets by anchor. Equal contexts within a pack are settled on the spot, so
    of a group of copies each pack sends one.
-3. Each bucket builds, anchor range by anchor range, a run-compressed Burrows-Wheeler index of the distinct contexts (bounded to LENGTH bytes, ties in
-   document order), with the positions at run ends and block heads sampled, streams the capped matching statistics of all
-   contexts against documents with smaller ids, and marks what reaches LENGTH.
+3. Each bucket builds, anchor range by anchor range, a run-compressed Burrows-Wheeler index of the distinct contexts (bounded to LENGTH bytes,
+   ties in document order), with the positions at run ends and block heads sampled. The statistics are capped at LENGTH, so
+   they are read off the blocks of equal ranks, whose heads are their smallest documents, and not streamed over the runs.
 
 Marks return to their packs, where spans are united and cut out.
 
