@@ -9,9 +9,9 @@ stand. The windows of one anchor occurrence make a context, one stretch of bytes
    document has end here, and with them all text that occurs once.
 2. Contexts of the remaining anchors go to buckets by anchor. Equal contexts within a pack are settled on the spot, so
    of a group of copies each pack sends one.
-3. Each bucket builds, anchor range by anchor range, a run-compressed Burrows-Wheeler index of the distinct contexts (bounded to LENGTH bytes,
-   ties in document order), with the positions at run ends and block heads sampled. The statistics are capped at LENGTH, so
-   they are read off the blocks of equal ranks, whose heads are their smallest documents, and not streamed over the runs.
+3. Each bucket numbers the documents of an anchor and pairs neighbouring ranges of them, of 1, 2, 4, ... documents. The lower
+   ranges go into a run-compressed Burrows-Wheeler index with the text positions at run ends sampled; the contexts of the
+   upper ranges stream their matching statistics over its runs, and every place with LENGTH or more is marked.
 
 Marks return to their packs, where spans are united and cut out.
 
@@ -107,51 +107,135 @@ class Contexts:
         return self.buf[np.arange(size.sum()) - np.repeat(first, size) + np.repeat(self.p0[i], size)]
 
 
+def _strings(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, starts) of the strings laid out anew, each with one byte of room for its terminator."""
+    start = np.cumsum(size + 1) - (size + 1)
+    out = np.zeros(int((size + 1).sum()) + 16, np.uint8)
+    run = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[run + np.repeat(start, size)] = text[run + np.repeat(first, size)]
+    return out, start
+
+
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of a few strings, in the order of their first ``length`` bytes.
+    """Run-compressed Burrows-Wheeler transform of strings in groups, with the text positions at the ends of every run.
 
-    ``strings`` are concatenated in ``text``; string k starts at ``first[k]`` and belongs to document ``doc[k]``. Rows whose
-    first ``length`` bytes are equal make a block; within it rows stand in document order. Kept are the runs (byte, first
-    row), the positions at both ends of every run and at every block's head.
+    Rows are all suffixes, by group, then by bytes, a terminator below every byte, then by string. A symbol is a group and
+    a byte, so a search for a text never leaves its group. Kept are the runs, by symbol and row: first row, end, the row to
+    which a backward step leads, and the samples; the suffix order itself is not.
     """
 
-    def __init__(self, text: np.ndarray, first: np.ndarray, doc: np.ndarray, length: int):
-        self.length = length
-        size = np.diff(np.append(first, len(text)))
-        string = np.repeat(np.arange(len(first)), size)
-        left = np.repeat(first + size, size) - np.arange(len(text))
-        rows = np.flatnonzero(left >= length)  # window starts: the positions that can match in full
-        rank = self._ranks(text, length)[rows]
-        order = np.lexsort((rows, doc[string[rows]], rank))
-        self.sa, self.rank = rows[order], rank[order]
-        self.doc = doc[string[self.sa]]
-        bwt = np.where(self.sa > first[string[self.sa]], text[self.sa - 1], 0)
-        self.run_first, end = tk.runs(bwt)
-        self.run_byte = bwt[self.run_first]
-        self.run_samples = np.stack([self.sa[self.run_first], self.sa[end - 1]], 1) if len(bwt) else np.zeros((0, 2), np.int64)
-        self.head, self.block_end = tk.runs(self.rank)
-
-    @staticmethod
-    def _ranks(text: np.ndarray, length: int) -> np.ndarray:
-        """Order of the ``length``-byte strings at all positions (only full ones are meaningful), by doubling."""
-        padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
-        key = tk.loads(padded)[: len(text) + length].byteswap()
-        _, rank = np.unique(key, return_inverse=True)
-        width = 8
-        while width < length:
-            step = min(width, length - width)
-            ahead = np.concatenate([rank[step:], np.zeros(step, rank.dtype)])
+    def __init__(self, text: np.ndarray, first: np.ndarray, size: np.ndarray, group: np.ndarray):
+        self.text, start = _strings(text, first, size)
+        self.words = tk.loads(self.text).byteswap()
+        string = np.repeat(np.arange(len(size)), size + 1)
+        n = len(string)
+        self.left = np.repeat(start + size, size + 1) - np.arange(n)
+        of = group[string]
+        sa = np.lexsort((string, self._ranks(int(size.max(initial=0))), of))
+        before = np.where(sa > start[string[sa]], self.text[sa - 1].astype(np.int64) + 1, 0)
+        symbol = of[sa] * 257 + before
+        head, end = tk.runs(symbol)
+        by = np.argsort(symbol[head], kind="stable")
+        self.rows, self.first, self.end, self.symbol = n, head[by], end[by], symbol[head[by]]
+        self.head_sample, self.end_sample = sa[self.first], sa[self.end - 1]
+        length = self.end - self.first
+        self.step = np.cumsum(length) - length
+        self.key = self.symbol * (n + 1) + self.first
+        self.top = sa[0]
+
+    def _ranks(self, longest: int) -> np.ndarray:
+        """Order of all suffixes up to their terminators, by doubling from 7 bytes."""
+        n, left = len(self.left), self.left
+        inside = np.minimum(left, 7).astype(tk.U)
+        mask = ~(~tk.U(0) >> (inside * tk.U(8)))
+        _, rank = np.unique(self.words[:n] & mask | inside, return_inverse=True)
+        width = 7
+        while width < longest:
+            ahead = np.zeros(n, np.int64)
+            ahead[:-width] = rank[width:] + 1
+            ahead[left < width] = 0
             _, rank = np.unique(rank.astype(np.int64) << 32 | ahead, return_inverse=True)
-            width += step
-        return rank[: len(text)]
-
-    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
-        """(position, matches) in row order: whether the capped match with documents of smaller ids reaches the full length.
-
-        A block's head is its smallest document, so it is the sample that decides for the whole block.
+            width *= 2
+        return rank
+
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at a and b share, ``most`` at most; the suffix at a has ``most``."""
+        most = np.minimum(most, self.left[b])
+        out = np.zeros(len(a), np.int64)
+        live = np.flatnonzero(most > 0)
+        while len(live):
+            x = self.words[a[live] + out[live]] ^ self.words[b[live] + out[live]]
+            same = np.full(len(live), 8)
+            for k in range(7, -1, -1):
+                same[x >> tk.U(56 - 8 * k) != 0] = k
+            out[live] += same
+            live = live[(same == 8) & (out[live] < most[live])]
+        return np.minimum(out, most)
+
+    def matching_statistics(self, text: np.ndarray, first: np.ndarray, size: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Streams (place, patterns, lengths) from the last place to the first: how long a match with the group starts there.
+
+        Each pattern keeps a row whose suffix matches longest, and that suffix's text position. A byte that the transform
+        has in that row is a backward step; else the row moves to the nearest run of the byte above or below, whichever
+        sample shares more bytes with the match so far. All patterns take their steps together.
         """
-        owner = np.repeat(self.doc[self.head], self.block_end - self.head)
-        return self.sa, owner < self.doc
+        m = len(size)
+        row, at, long = np.zeros(m, np.int64), np.full(m, self.top), np.zeros(m, np.int64)
+        last = len(self.key) - 1
+        for place in range(int(size.max(initial=0)) - 1, -1, -1):
+            live = np.flatnonzero(size > place)
+            want = group[live] * 257 + text[first[live] + place].astype(np.int64) + 1
+            k = np.searchsorted(self.key, want * (self.rows + 1) + row[live], "right") - 1
+            above = (k >= 0) & (self.symbol[np.maximum(k, 0)] == want)
+            hit = above & (row[live] < self.end[np.maximum(k, 0)])
+            p, r = live[hit], k[hit]
+            row[p] = self.step[r] + row[p] - self.first[r]
+            at[p] -= 1
+            long[p] += 1
+            miss = np.flatnonzero(~hit)
+            p, up, has_up = live[miss], np.maximum(k[miss], 0), above[miss]
+            down = np.minimum(k[miss] + 1, last)
+            has_down = (k[miss] < last) & (self.symbol[down] == want[miss])
+            n_up = np.where(has_up, self._common(at[p], self.end_sample[up], long[p]), -1)
+            n_down = np.where(has_down, self._common(at[p], self.head_sample[down], long[p]), -1)
+            upward = n_up >= n_down
+            r = np.where(upward, up, down)
+            found = has_up | has_down
+            row[p] = np.where(found, np.where(upward, self.step[r] + self.end[r] - 1 - self.first[r], self.step[r]), 0)
+            at[p] = np.where(found, np.where(upward, self.end_sample[r], self.head_sample[r]) - 1, self.top)
+            long[p] = np.where(found, np.maximum(n_up, n_down) + 1, 0)
+            yield place, live, long[live]
+
+
+def earlier_matches(text: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, place), sorted: where ``length`` bytes start that also stand in a string of the same key and a smaller document.
+
+    Documents of a key are numbered, and pairs of neighbouring ranges of 1, 2, 4, ... of them give a group each: the lower
+    range is indexed and the upper one streamed against it. Any two documents of a key meet in exactly one group.
+    """
+    order = np.lexsort((doc, key))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    number = np.cumsum(new) - 1
+    a, b = tk.runs(key[order])
+    rank, of = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    rank[order] = number - np.repeat(number[a], b - a)
+    of[order] = np.repeat(np.arange(len(a)), b - a)
+    strings, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for level in range(int(rank.max(initial=0)).bit_length()):
+        group = of * (rank.max() + 1) + (rank >> (level + 1))
+        upper = (rank >> level) & 1 == 1
+        _, group = np.unique(group, return_inverse=True)
+        paired = np.zeros(len(group), bool)
+        paired[group[upper]] = True
+        low, up = np.flatnonzero(~upper & paired[group]), np.flatnonzero(upper)
+        index = RunLengthIndex(text, first[low], size[low], group[low])
+        for place, live, long in index.matching_statistics(text, first[up], size[up], group[up]):
+            full = up[live[long >= length]]
+            strings.append(full)
+            places.append(np.full(len(full), place))
+    pairs = np.unique(np.concatenate(strings) << 32 | np.concatenate(places))
+    return pairs >> 32, pairs & 0xFFFFFFFF
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,18 +426,12 @@ def _mark(table: pa.Table) -> pa.Table:
     for part in _slices(key[rep], size[order[rep]]):
         own = rep[part]
         src = order[own]
-        n = size[src]
-        start = np.cumsum(n) - n
-        joined = text[np.arange(n.sum()) - np.repeat(start, n) + np.repeat(first[src], n)]
-        at, long = RunLengthIndex(joined, start, ident[own], LENGTH).matching_statistics()
-        at = np.sort(at[long])
+        o, at = earlier_matches(text, first[src], size[src], ident[own], key[own], LENGTH)
         if not len(at):
             continue
-        owner = np.searchsorted(start, at, "right") - 1
-        cut = np.flatnonzero((at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])) + 1
+        cut = np.flatnonzero((at[1:] != at[:-1] + 1) | (o[1:] != o[:-1])) + 1
         s, e = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
-        o = owner[s]
-        lo, hi = at[s] - start[o], at[e] - start[o] + 1
+        o, lo, hi = o[s], at[s], at[e] + 1
         # The context's other occurrences in its own document share the marks; those in larger documents are whole already.
         g = group[own][o]
         i, j = np.searchsorted(m_group, g, "left"), np.searchsorted(m_group, g, "right")

@@ -93,13 +93,37 @@ def test_suffix_dedup(spark, texts):
     assert [r.n_removed for r in twice] == [0, 0]
 
 
-def test_run_length_index():
+def test_earlier_matches():
     text = np.frombuffer(b"abababab" * 9, np.uint8)
-    i = suffix_dedup.RunLengthIndex(text, np.array([0, 24, 48]), np.array([5, 2, 9]), 10)
-    at, long = i.matching_statistics()
-    marked = set(at[long].tolist())
-    assert marked == set(range(0, 15)) | set(range(48, 63))
-    assert len(i.run_first) < len(i.sa)
+    string, at = suffix_dedup.earlier_matches(text, np.array([0, 24, 48]), np.array([24, 24, 24]), np.array([5, 2, 9]), np.array([1, 1, 1]), 10)
+    assert set((string * 24 + at).tolist()) == set(range(0, 15)) | set(range(48, 63))
+    rng = random.Random(5)
+    for trial in range(40):
+        words = [bytes(rng.choice(b"\x00ab\xff") for _ in range(rng.randint(1, 9))) for _ in range(5)]
+        strings = [b"".join(rng.choice(words) for _ in range(rng.randint(1, 9)))[:84] for _ in range(rng.randint(1, 40))]
+        doc = [rng.randint(-3, 12) for _ in strings]
+        key = [rng.randint(0, 2) for _ in strings]
+        size = np.array([len(t) for t in strings])
+        got = suffix_dedup.earlier_matches(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, np.array(doc), np.array(key), 7)
+        want = [(k, p) for k, t in enumerate(strings) for p in range(len(t) - 6) if any(key[j] == key[k] and doc[j] < doc[k] and t[p : p + 7] in u for j, u in enumerate(strings))]
+        assert list(zip(*(x.tolist() for x in got))) == want
+
+
+def test_matching_statistics():
+    """Streamed lengths equal those by substring tests, group by group, over fewer runs than rows."""
+    rng = random.Random(6)
+    base = "".join(rng.choice("abc") for _ in range(60))
+    texts = [base[rng.randint(0, 9) : rng.randint(30, 60)].replace("a", rng.choice("aab"), 1).encode() for _ in range(80)]
+    group = np.array([rng.randint(0, 2) for _ in texts])
+    size = np.array([len(t) for t in texts])
+    flat, first = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size
+    low = np.arange(50)
+    index = suffix_dedup.RunLengthIndex(flat, first[low], size[low], group[low])
+    assert len(index.key) < index.rows / 4
+    for place, live, long in index.matching_statistics(flat, first[50:], size[50:], group[50:]):
+        for q, n in zip(live.tolist(), long.tolist()):
+            tail = texts[50 + q][place:]
+            assert n == max(m for m in range(len(tail) + 1) if any(group[j] == group[50 + q] and tail[:m] in texts[j] for j in range(50)))
 
 
 def test_jaccard(spark, texts):
