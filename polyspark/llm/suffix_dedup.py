@@ -131,7 +131,7 @@ class RunLengthIndex:
         n = len(string)
         self.left = np.repeat(start + size, size + 1) - np.arange(n)
         of = group[string]
-        sa = np.lexsort((string, self._ranks(int(size.max(initial=0))), of))
+        sa = np.argsort(of << 32 | self._ranks(int(size.max(initial=0))), kind="stable")
         before = np.where(sa > start[string[sa]], self.text[sa - 1].astype(np.int64) + 1, 0)
         symbol = of[sa] * 257 + before
         head, end = tk.runs(symbol)
@@ -165,9 +165,9 @@ class RunLengthIndex:
         live = np.flatnonzero(most > 0)
         while len(live):
             x = self.words[a[live] + out[live]] ^ self.words[b[live] + out[live]]
-            same = np.full(len(live), 8)
-            for k in range(7, -1, -1):
-                same[x >> tk.U(56 - 8 * k) != 0] = k
+            same = np.zeros(len(live), np.int8)
+            for k in range(56, -1, -8):
+                same += x < tk.U(1 << k)
             out[live] += same
             live = live[(same == 8) & (out[live] < most[live])]
         return np.minimum(out, most)
@@ -179,32 +179,34 @@ class RunLengthIndex:
         has in that row is a backward step; else the row moves to the nearest run of the byte above or below, whichever
         sample shares more bytes with the match so far. All patterns take their steps together.
         """
-        m = len(size)
+        order = np.argsort(-size, kind="stable")  # so that the patterns that reach a place are the first ones
+        first, base, reach = first[order], group[order] * 257 + 1, -size[order]
+        m, last = len(size), len(self.key) - 1
         row, at, long = np.zeros(m, np.int64), np.full(m, self.top), np.zeros(m, np.int64)
-        last = len(self.key) - 1
         for place in range(int(size.max(initial=0)) - 1, -1, -1):
-            live = np.flatnonzero(size > place)
-            want = group[live] * 257 + text[first[live] + place].astype(np.int64) + 1
-            k = np.searchsorted(self.key, want * (self.rows + 1) + row[live], "right") - 1
-            above = (k >= 0) & (self.symbol[np.maximum(k, 0)] == want)
-            hit = above & (row[live] < self.end[np.maximum(k, 0)])
-            p, r = live[hit], k[hit]
-            row[p] = self.step[r] + row[p] - self.first[r]
-            at[p] -= 1
-            long[p] += 1
-            miss = np.flatnonzero(~hit)
-            p, up, has_up = live[miss], np.maximum(k[miss], 0), above[miss]
-            down = np.minimum(k[miss] + 1, last)
-            has_down = (k[miss] < last) & (self.symbol[down] == want[miss])
-            n_up = np.where(has_up, self._common(at[p], self.end_sample[up], long[p]), -1)
-            n_down = np.where(has_down, self._common(at[p], self.head_sample[down], long[p]), -1)
-            upward = n_up >= n_down
-            r = np.where(upward, up, down)
-            found = has_up | has_down
-            row[p] = np.where(found, np.where(upward, self.step[r] + self.end[r] - 1 - self.first[r], self.step[r]), 0)
-            at[p] = np.where(found, np.where(upward, self.end_sample[r], self.head_sample[r]) - 1, self.top)
-            long[p] = np.where(found, np.maximum(n_up, n_down) + 1, 0)
-            yield place, live, long[live]
+            n = int(np.searchsorted(reach, -place))
+            want = base[:n] + text[first[:n] + place]
+            k = np.searchsorted(self.key, want * (self.rows + 1) + row[:n], "right") - 1
+            r = np.maximum(k, 0)
+            above = (k >= 0) & (self.symbol[r] == want)
+            p = np.flatnonzero(~(above & (row[:n] < self.end[r])))
+            row[:n] += self.step[r] - self.first[r]
+            at[:n] -= 1
+            if len(p):
+                up, down, match = r[p], np.minimum(k[p] + 1, last), long[p]
+                has_down = (k[p] < last) & (self.symbol[down] == want[p])
+                n_up, n_down = np.where(above[p], 0, -1), np.where(has_down, 0, -1)
+                q = np.flatnonzero(above[p] & (match > 0))
+                n_up[q] = self._common(at[p[q]] + 1, self.end_sample[up[q]], match[q])
+                q = np.flatnonzero(has_down & (match > np.maximum(n_up, 0)))
+                n_down[q] = self._common(at[p[q]] + 1, self.head_sample[down[q]], match[q])
+                upward, best = n_up >= n_down, np.maximum(n_up, n_down)
+                r, found = np.where(upward, up, down), best >= 0
+                row[p] = np.where(found, self.step[r] + np.where(upward, self.end[r] - 1 - self.first[r], 0), 0)
+                at[p] = np.where(found, np.where(upward, self.end_sample[r], self.head_sample[r]) - 1, self.top)
+                long[p] = best
+            long[:n] += 1
+            yield place, order[:n], long[:n]
 
 
 def earlier_matches(text: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
