@@ -39,12 +39,13 @@ def _ring(spark: SparkSession, d: str) -> DataFrame:
 RING = "e AS (SELECT k AS src, unnest([k * 3 % 25, k * 7 % 25, (k + 5) % 25]) AS dst FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation))"
 
 
-def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    c = load(prepare(spark), d, "customer").select(F.col("c_custkey").alias("k"))
-    return c.where("k % 3 <> 0").select(F.col("k").alias("src"), (F.col("k") + 1).alias("dst"))
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer linked to the one with half its key, below 32 to the rest by 4: four trees that deepen with the table."""
+    c = load(prepare(spark), d, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    return c.select(F.col("k").alias("src"), F.expr("CASE WHEN k < 32 THEN k % 4 ELSE k div 2 END").alias("dst"))
 
 
-SPARSE = "e AS (SELECT c_custkey AS src, c_custkey + 1 AS dst FROM customer WHERE c_custkey % 3 <> 0)"
+TREE = "e AS (SELECT CAST(c_custkey AS BIGINT) AS src, CAST(CASE WHEN c_custkey < 32 THEN c_custkey % 4 ELSE c_custkey // 2 END AS BIGINT) AS dst FROM customer)"
 
 
 def _triples(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +105,7 @@ def interpolate(spark, d):
 
 
 def gap_fill(spark, d):
-    m = _metrics(spark, d).where("event_type = 'purchase' AND event_id % 10 = 0")
+    m = _metrics(spark, d)
     return timeseries.gap_fill(m.groupBy(timeseries.time_bucket("6 hours", "ts").alias("bucket")).agg(F.count("*").alias("n")), "6 hours", "bucket", "n")
 
 
@@ -144,12 +145,6 @@ def json_contains(spark, d):
 
 
 def json_build_set(spark, d):
-    o = load(spark, d, "orders").where("o_orderkey % 11 = 0")
-    j = document.build_object(status=F.col("o_orderstatus"), key=F.col("o_orderkey"))
-    return o.select("o_orderkey", document.json_set(j, ["extra", "n"], 5).alias("j"))
-
-
-def json_build_set_all(spark, d):
     j = document.build_object(status=F.col("o_orderstatus"), key=F.col("o_orderkey"))
     return load(spark, d, "orders").select("o_orderkey", document.json_set(j, ["extra", "n"], 5).alias("j"))
 
@@ -266,11 +261,11 @@ def graph_bfs(spark, d):
 
 
 def graph_shortest_path(spark, d):
-    return graph.shortest_path(_sparse(spark, d), 4, 6).select(F.col("step").cast("long").alias("step"), "vertex")
+    return graph.shortest_path(_tree(spark, d), 100, 141).select(F.col("step").cast("long").alias("step"), "vertex")
 
 
 def graph_components(spark, d):
-    return graph.connected_components(_sparse(spark, d))
+    return graph.connected_components(_tree(spark, d))
 
 
 def graph_pagerank(spark, d):
@@ -427,10 +422,6 @@ def _log_of_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_chain(spark, d):
-    return agent.audit_chain(_log_of_turns(spark, d)).where("prev_hash = ''").select("session_id", "seq", "hash")
-
-
-def audit_chain_all(spark, d):
     return agent.audit_chain(_log_of_turns(spark, d)).select("session_id", "seq", "prev_hash", "hash")
 
 
@@ -451,12 +442,12 @@ def shared_state(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     time_bucket, time_bucket_range, rollup, rollup_retention, moving_average, interpolate, gap_fill, gap_fill_all, lag_by_row, ntile_formula,
-    json_arrow, json_typeof_valid, json_contains, json_build_set, json_build_set_all, json_path_lookup, pipeline_group, pipeline_project, fts_and, bm25,
+    json_arrow, json_typeof_valid, json_contains, json_build_set, json_path_lookup, pipeline_group, pipeline_project, fts_and, bm25,
     l2_topk, cosine_topk, dot_product, hybrid_rrf, tumbling, sliding, sliding_sparse, session, session_by_key, time_travel, cdc_diff, topic_retention,
     graph_neighbors, graph_bfs, graph_shortest_path, graph_components, graph_pagerank, graph_triangles, graph_labels, graph_match_2hop,
     graph_bfs_all, graph_shortest_path_all, graph_components_all, graph_pagerank_all, graph_triangles_all, graph_labels_all,
     st_distance, st_dwithin_filter, st_dwithin_join, st_within, st_area_length, st_transform, st_intersects_join, grid_cluster, kernel_density, raster_value,
-    upsert, update_delete, analyze_stats, value_histogram, row_checksum_verify, agent_recall, agent_metrics, latency_rollup, audit_chain, audit_chain_all, session_replay, provenance_latest, shared_state,
+    upsert, update_delete, analyze_stats, value_histogram, row_checksum_verify, agent_recall, agent_metrics, latency_rollup, audit_chain, session_replay, provenance_latest, shared_state,
 )}
 
 _BM = f"""
@@ -496,15 +487,14 @@ ORACLE_SQL = {
  k AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS lr, last_value(value IGNORE NULLS) OVER b AS lv, first_value(CASE WHEN value IS NOT NULL THEN rn END IGNORE NULLS) OVER a AS hr, first_value(value IGNORE NULLS) OVER a AS hv FROM r
  WINDOW b AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
  SELECT event_id, round(CASE WHEN value IS NOT NULL THEN value WHEN lv IS NOT NULL AND hv IS NOT NULL THEN lv + (hv - lv) * (rn - lr) / (hr - lr) ELSE coalesce(lv, hv) END, 6) AS filled FROM k""",
-    "gap_fill": f"WITH {METRICS}, b AS (SELECT ts - ts % {6 * HOUR} AS bucket, count(*) AS n FROM m WHERE event_type = 'purchase' AND event_id % 10 = 0 GROUP BY 1), g AS (SELECT unnest(range(a, z + 1, {6 * HOUR})) AS bucket FROM (SELECT min(bucket) AS a, max(bucket) AS z FROM b)) SELECT g.bucket, n FROM g LEFT JOIN b ON g.bucket = b.bucket",
+    "gap_fill": f"WITH {METRICS}, b AS (SELECT ts - ts % {6 * HOUR} AS bucket, count(*) AS n FROM m GROUP BY 1), g AS (SELECT unnest(range(a, z + 1, {6 * HOUR})) AS bucket FROM (SELECT min(bucket) AS a, max(bucket) AS z FROM b)) SELECT g.bucket, n FROM g LEFT JOIN b ON g.bucket = b.bucket",
     "gap_fill_all": f"WITH {METRICS}, b AS (SELECT ts - ts % 60000 AS bucket, count(*) AS n FROM m GROUP BY 1), g AS (SELECT unnest(range(a, z + 1, 60000)) AS bucket FROM (SELECT min(bucket) AS a, max(bucket) AS z FROM b)) SELECT g.bucket, coalesce(n, 0) AS n, n IS NULL AS gap FROM g LEFT JOIN b ON g.bucket = b.bucket",
     "lag_by_row": f"WITH {METRICS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM m) SELECT a.event_id, b.event_id AS lagged FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.rn = a.rn - a.event_id % 3",
     "ntile_formula": "SELECT c_custkey, CAST(least(4, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1) * 4 // count(*) OVER (PARTITION BY c_mktsegment) + 1) AS BIGINT) AS tile FROM customer",
     "json_arrow": "SELECT event_id, CAST(props -> '$.k' AS VARCHAR) AS j, props ->> '$.k' AS t, props ->> '$.missing' AS none FROM events",
     "json_typeof_valid": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'array' WHEN 1 THEN 'string' WHEN 2 THEN NULL ELSE 'object' END AS kind, event_id % 5 <> 2 AS ok, CASE WHEN event_id % 5 = 0 THEN 2 END AS n FROM events",
     "json_contains": "SELECT o_orderkey, o_orderstatus = 'F' AS hit FROM orders",
-    "json_build_set": """SELECT o_orderkey, '{"extra":{"n":5},"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS j FROM orders WHERE o_orderkey % 11 = 0""",
-    "json_build_set_all": """SELECT o_orderkey, '{"extra":{"n":5},"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS j FROM orders""",
+    "json_build_set": """SELECT o_orderkey, '{"extra":{"n":5},"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS j FROM orders""",
     "json_path_lookup": "SELECT event_id FROM events WHERE props ->> '$.k' = '87'",
     "pipeline_group": "SELECT o_orderpriority AS _id, round(sum(o_totalprice), 2) AS total, CAST(count(*) AS DOUBLE) AS n, round(avg(o_totalprice), 4) AS mean, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders WHERE o_totalprice > 50000 AND o_orderstatus <> 'P' GROUP BY 1",
     "pipeline_project": "SELECT o_orderkey, o_totalprice AS price, 'top' AS tag FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 3",
@@ -528,8 +518,8 @@ ORACLE_SQL = {
     "topic_retention": f"WITH {METRICS}, t AS (SELECT user_id % 4 AS partition, event_id AS o, event_id % 9 + 1 AS size, ts, max(ts) OVER (PARTITION BY user_id % 4) AS newest FROM m), s AS (SELECT partition, o, sum(size) OVER (PARTITION BY partition ORDER BY o DESC ROWS UNBOUNDED PRECEDING) AS total FROM t WHERE ts >= newest - {20 * DAY}) SELECT partition, o AS \"offset\" FROM s WHERE total <= 500",
     "graph_neighbors": f"WITH {EDGES} SELECT dst AS neighbor, rel FROM e WHERE src = 'c1'",
     "graph_bfs": f"WITH RECURSIVE {RING}, w(v, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM w JOIN e ON src = v WHERE depth < 4) SELECT v AS vertex, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY v",
-    "graph_shortest_path": "SELECT CAST(s AS BIGINT) AS step, CAST(4 + s AS BIGINT) AS vertex FROM range(3) t(s)",
-    "graph_components": f"WITH RECURSIVE {SPARSE}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(v, c) AS (SELECT src, src FROM b UNION SELECT dst, c FROM w JOIN b ON src = v) SELECT v AS vertex, min(c) AS component FROM w GROUP BY v",
+    "graph_shortest_path": f"WITH RECURSIVE {TREE}, a(v, s) AS (SELECT CAST(100 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT dst, s + 1 FROM a JOIN e ON src = v WHERE src <> dst), b(v, s) AS (SELECT CAST(141 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT dst, s + 1 FROM b JOIN e ON src = v WHERE src <> dst), m AS (SELECT a.s AS up, b.s AS down FROM a JOIN b ON a.v = b.v ORDER BY a.s LIMIT 1) SELECT a.s AS step, a.v AS vertex FROM a, m WHERE a.s <= up UNION ALL SELECT up + down - b.s, b.v FROM b, m WHERE b.s < down",
+    "graph_components": f"WITH RECURSIVE {TREE}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(v, c) AS (SELECT src, src FROM b UNION SELECT dst, c FROM w JOIN b ON src = v) SELECT v AS vertex, min(c) AS component FROM w GROUP BY v",
     "graph_pagerank": f"WITH {RING}, n AS (SELECT src AS v FROM e UNION SELECT dst FROM e), p0 AS (SELECT v, 1.0 / (SELECT count(*) FROM n) AS s FROM n), {_PR} SELECT v AS vertex, round(s, 9) AS score FROM p3",
     "graph_triangles": f"WITH {RING}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), c AS (SELECT unnest([p, q, r]) AS v FROM t), n AS (SELECT src AS v FROM e UNION SELECT dst FROM e) SELECT n.v AS vertex, count(c.v) AS triangles FROM n LEFT JOIN c ON n.v = c.v GROUP BY n.v",
     "graph_labels": f"WITH {RING}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), c AS (SELECT src, dst AS label, count(*) AS n FROM b GROUP BY 1, 2) SELECT src AS vertex, arg_min(label, -n * 1000 + label) AS label FROM c GROUP BY src",
@@ -558,8 +548,7 @@ ORACLE_SQL = {
     "agent_recall": f"WITH {_V}, x AS (SELECT vec_id, 1 - {_DOT} / ({_N1} * {_N2}) AS far FROM v WHERE label = 3) SELECT vec_id AS id, 'm' || vec_id AS content, round(far, 6) + 0.0 AS distance FROM x ORDER BY far, vec_id LIMIT 5",
     "agent_metrics": "SELECT user_id AS agent_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM events GROUP BY 1",
     "latency_rollup": f"WITH {METRICS} SELECT user_id AS agent_id, ts - ts % {DAY} AS bucket, count(value) AS count, min(value) AS min, max(value) AS max FROM m GROUP BY 1, 2",
-    "audit_chain": "WITH f AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY 1) SELECT c.conv_id AS session_id, c.turn AS seq, sha256('|' || c.turn || '|' || c.turn || '|' || role || '|say|' || length(text)) AS hash FROM conversations c JOIN f ON c.conv_id = f.conv_id AND c.turn = f.turn",
-    "audit_chain_all": "WITH RECURSIVE r AS (SELECT conv_id, turn, '|' || turn || '|' || turn || '|' || role || '|say|' || length(text) AS entry, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), w AS (SELECT conv_id, turn, k, '' AS prev_hash, sha256(entry) AS hash FROM r WHERE k = 1 UNION ALL SELECT r.conv_id, r.turn, r.k, w.hash, sha256(w.hash || r.entry) FROM w JOIN r ON r.conv_id = w.conv_id AND r.k = w.k + 1) SELECT conv_id AS session_id, turn AS seq, prev_hash, hash FROM w",
+    "audit_chain": "WITH RECURSIVE r AS (SELECT conv_id, turn, '|' || turn || '|' || turn || '|' || role || '|say|' || length(text) AS entry, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), w AS (SELECT conv_id, turn, k, '' AS prev_hash, sha256(entry) AS hash FROM r WHERE k = 1 UNION ALL SELECT r.conv_id, r.turn, r.k, w.hash, sha256(w.hash || r.entry) FROM w JOIN r ON r.conv_id = w.conv_id AND r.k = w.k + 1) SELECT conv_id AS session_id, turn AS seq, prev_hash, hash FROM w",
     "session_replay": "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS evt_offset, role FROM conversations WHERE conv_id = 3 AND turn <= 4",
     "provenance_latest": f"WITH {METRICS} SELECT user_id AS fact_ref, event_type AS source, event_id AS seq, ts FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "shared_state": f"WITH {METRICS} SELECT event_type AS workflow, event_id % 5 AS key, value, user_id AS updated_by, event_id AS updated_at FROM m QUALIFY row_number() OVER (PARTITION BY event_type, event_id % 5 ORDER BY event_id DESC) = 1",

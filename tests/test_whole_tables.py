@@ -24,7 +24,7 @@ def test_gap_fill_counts_every_event(spark):
 
 
 def test_json_build_set_has_every_order(spark):
-    keys = [r.o_orderkey for r in QUERIES["json_build_set_all"](spark, SF).collect()]
+    keys = [r.o_orderkey for r in QUERIES["json_build_set"](spark, SF).collect()]
     assert sorted(keys) == sorted(r.o_orderkey for r in load(spark, SF, "orders").select("o_orderkey").collect())
 
 
@@ -55,4 +55,4 @@ def test_audit_chain_covers_every_turn(spark):
         prev = before.get(c, "")
         before[c] = hashlib.sha256(f"{prev}|{turn}|{turn}|{role}|say|{len(text)}".encode()).hexdigest()
         want[c, turn] = (prev, before[c])
-    assert {(r.session_id, r.seq): (r.prev_hash, r.hash) for r in QUERIES["audit_chain_all"](spark, SF).collect()} == want
+    assert {(r.session_id, r.seq): (r.prev_hash, r.hash) for r in QUERIES["audit_chain"](spark, SF).collect()} == want
