@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import stored
+from . import packed
 
 
 def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -108,16 +109,16 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
 
 
 def triangle_count(edges: DataFrame) -> DataFrame:
-    """(vertex, triangles), undirected; edges point from the vertex of lower degree, which bounds the wedges of hubs."""
-    e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    deg = e.select(F.col("a").alias("v")).union(e.select("b")).groupBy("v").agg(F.count("*").alias("d"))
-    e = e.join(deg.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
-    low = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    e = stored(e.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v")))
-    wedge = e.select("u", F.col("v").alias("x")).join(e.select("u", F.col("v").alias("y")), "u").where("x <> y")
-    closed = wedge.join(e.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
-    count = closed.select(F.explode(F.array("u", "x", "y")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("triangles"))
-    return vertices(edges).join(count, "vertex", "left").select("vertex", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+    """(vertex, triangles), undirected; edges point from the vertex of fewer ends, which bounds the pairs of hubs, and packed lists of
+    neighbours are intersected where they lie in blocks, so pairs of neighbours are never written."""
+    edges = stored(edges.select("src", "dst"))
+    nodes = packed.nodes_of(edges, ("n", "vertex"))
+    if nodes.count() >= 1 << 31:
+        raise ValueError("vertex numbers of 32 bits do not suffice")
+    lists = packed.later_lists(edges, nodes)
+    n = lists.agg(F.sum(F.octet_length("near") / 4)).first()[0]
+    count = packed.triangles(lists, int(n or 0)).groupBy("id").agg(F.sum("n").alias("triangles"))
+    return nodes.join(count, "id", "left").select("vertex", F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
 
 def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
