@@ -1,18 +1,23 @@
 """Graph operators over an edge table (src, dst[, rel]): plain joins, iterated only where the answer needs it.
 
-Iterations write their frontier to the shared checkpoint folder, so plans stay short and a lost executor costs a re-read.
+Up to ``MOST_SENT`` vertices, iterations send one number for each vertex to the tasks and go over packed edges without a shuffle.
+Beyond that they join, and write their frontier to the shared checkpoint folder. Plans stay short and a lost executor costs a re-read.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import stored
 from . import packed
 
+#: Vertices for which rounds send a number each to the tasks (8 bytes at most, 128 MB in all); with more, rounds are joins.
+MOST_SENT = 1 << 24
+
 
 def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
     """(src, dst, ...) as seen when walking out, in or both ways; multi-edges are kept."""
@@ -121,8 +126,41 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     return nodes.join(count, "id", "left").select("vertex", F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
 
+def _votes(state, heads, starts, near):
+    """(id, label, n): the first and last vertex of a row, which other rows may go on with, by label; the others with their label and n = 0."""
+    k = np.sort(np.repeat(np.arange(len(heads)) << 32, np.diff(np.r_[starts, len(near)])) | state[near])
+    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    n, k = np.diff(np.r_[at, len(k)]), k[at]
+    i, label = k >> 32, k & 0xFFFFFFFF
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    best = np.flatnonzero(n == np.maximum.reduceat(n, first)[i])
+    best = best[np.r_[True, i[best][1:] != i[best][:-1]]]  # labels rise: the smallest on a tie
+    best = best[(i[best] > 0) & (i[best] < len(heads) - 1)]
+    part = np.flatnonzero((i == 0) | (i == len(heads) - 1))
+    rows = np.r_[best, part]
+    return heads[i[rows]], label[rows].astype(np.int32), np.r_[np.zeros(len(best), np.int64), n[part]]
+
+
 def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
     """(vertex, label): each round every vertex takes its neighbours' most frequent label, the smallest on a tie."""
+    edges = stored(edges.select("src", "dst"))
+    nodes = packed.nodes_of(edges)
+    size = nodes.count()
+    if size > MOST_SENT:
+        return _joined_labels(edges, iterations)
+    rows, label = packed.packed(edges, nodes, "both"), np.arange(size)
+    for _ in range(iterations):
+        told, sent = packed.told(rows, label, _votes, "id int, label int, n long")
+        told = stored(told)
+        sent.destroy()
+        part = told.where("n > 0").groupBy("id", "label").agg(F.sum("n").alias("n")).groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"))
+        ids, new = packed.columns(told.where("n = 0").select("id", "label").unionByName(part.select("id", F.col("b.label").alias("label"))))
+        label = label.copy()
+        label[ids] = new
+    return packed.named(nodes, label, "label")
+
+
+def _joined_labels(edges: DataFrame, iterations: int) -> DataFrame:
     both = stored(edges.select("src", "dst").union(edges.select("dst", "src")))
     label = vertices(edges).select("vertex", F.col("vertex").alias("label"))
     for _ in range(iterations):
