@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 EARTH_M = 6_371_008.8
 MERCATOR_M = 6_378_137.0
 MERCATOR_LAT = 85.05112878
@@ -325,6 +327,30 @@ def cells_of(box: Column, size: float) -> Column:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("i"), y.alias("j")))))
 
 
+#: Pairs of rows of one cell that a task compares, about, and the most tasks.
+TASK_PAIRS, MOST_TASKS = 20_000_000, 4096
+
+
+def dealt_join(left: DataFrame, right: DataFrame, cell: list[str]) -> DataFrame:
+    """``left`` and ``right`` joined on their cells, dealt by pairs rather than bytes: a cell of many pairs is cut into pieces, each with a
+    share of its left rows and all its right rows, and there are as many tasks as the pairs need. No pair is lost or made twice."""
+    count = lambda df, n: df.groupBy(*cell).agg(F.count("*").alias(n))
+    work = stored(count(left, "_nl").join(count(right, "_nr"), cell).withColumn("_k", F.ceil(F.col("_nl").cast("double") * F.col("_nr") / TASK_PAIRS).cast("int")))
+    pairs = work.agg(F.sum(F.col("_nl").cast("double") * F.col("_nr"))).first()[0] or 0.0
+    tasks = max(min(math.ceil(pairs / TASK_PAIRS) * 2, MOST_TASKS), 1)
+    work = work.select(*cell, "_k")
+    hashed = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
+    left = left.join(work, cell).withColumn("_s", F.pmod(F.xxhash64(*hashed), F.col("_k")).cast("int")).drop("_k")
+    right = right.join(work, cell).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+    return left.repartition(tasks, *cell, "_s").join(right.repartition(tasks, *cell, "_s"), [*cell, "_s"]).drop("_s")
+
+
+def _on_sphere(df: DataFrame, name: str, x: str, y: str) -> tuple[DataFrame, list[str]]:
+    """With the place on the unit sphere as three columns."""
+    lon, lat = F.radians(F.col(x)), F.radians(F.col(y))
+    return df.withColumns({f"{name}x": F.cos(lat) * F.cos(lon), f"{name}y": F.cos(lat) * F.sin(lon), f"{name}z": F.sin(lat)}), [f"{name}{c}" for c in "xyz"]
+
+
 def intersects_join(a: DataFrame, ga: str, b: DataFrame, gb: str, size: float) -> DataFrame:
     """Pairs with overlapping boxes: an equi-join on grid cells; a pair counts in the cell of its overlap's lower corner only."""
     left = a.withColumn("_ba", bbox(ga)).withColumn("_cell", F.explode(cells_of(F.col("_ba"), size)))
@@ -350,8 +376,13 @@ def dwithin_join(a: DataFrame, xa: str, ya: str, b: DataFrame, xb: str, yb: str,
     left = a.withColumn("_band", F.explode(F.transform(F.array(*(F.lit(d) for d in (-1, 0, 1))), lambda d: band_of(F.col(ya)) + d)))
     left = left.withColumn("_n", columns(F.col("_band"))).withColumn("_c", place(F.col(xa), F.col("_n")))
     left = left.withColumn("_col", F.explode(F.array_distinct(F.transform(F.array(*(F.lit(d) for d in (-1, 0, 1))), lambda d: F.pmod(F.col("_c") + d, F.col("_n"))))))
-    near = left.join(right.drop("_n"), ["_band", "_col"])
-    return near.where(haversine(xa, ya, xb, yb) <= metres).drop("_band", "_col", "_n", "_c")
+    (left, la), (right, lb) = _on_sphere(left.drop("_n", "_c"), "_l", xa, ya), _on_sphere(right.drop("_n"), "_r", xb, yb)
+    near = dealt_join(left, right, ["_band", "_col"])
+    chord = sum(((F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(la[1:], lb[1:])), (F.col(la[0]) - F.col(lb[0])) * (F.col(la[0]) - F.col(lb[0])))
+    most = 4 * math.sin(min(metres / EARTH_M, math.pi) / 2) ** 2
+    # The squared chord settles all but what lies at the limit; there, the distance itself is computed.
+    inside = F.when(chord > most * (1 + 1e-6) + 1e-12, False).when(chord < most * (1 - 1e-6) - 1e-12, True).otherwise(haversine(xa, ya, xb, yb) <= metres)
+    return near.where(inside).drop("_band", "_col", *la, *lb)
 
 
 def dwithin_filter(df: DataFrame, x: str, y: str, lon: float, lat: float, metres: float) -> DataFrame:
