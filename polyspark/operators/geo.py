@@ -356,7 +356,8 @@ def intersects_join(a: DataFrame, ga: str, b: DataFrame, gb: str, size: float) -
     left = a.withColumn("_ba", bbox(ga)).withColumn("_cell", F.explode(cells_of(F.col("_ba"), size)))
     right = b.withColumn("_bb", bbox(gb)).withColumn("_cell", F.explode(cells_of(F.col("_bb"), size)))
     own = (F.floor(F.greatest("_ba.x0", "_bb.x0") / size) == F.col("_cell.i")) & (F.floor(F.greatest("_ba.y0", "_bb.y0") / size) == F.col("_cell.j"))
-    return left.join(right, "_cell").where(bbox_overlap(F.col("_ba"), F.col("_bb")) & own).drop("_cell", "_ba", "_bb")
+    near = dealt_join(left.withColumns({"_i": F.col("_cell.i"), "_j": F.col("_cell.j")}), right.withColumns({"_i": F.col("_cell.i"), "_j": F.col("_cell.j")}).drop("_cell"), ["_i", "_j"])
+    return near.where(bbox_overlap(F.col("_ba"), F.col("_bb")) & own).drop("_cell", "_ba", "_bb", "_i", "_j")
 
 
 def dwithin_join(a: DataFrame, xa: str, ya: str, b: DataFrame, xb: str, yb: str, metres: float) -> DataFrame:
