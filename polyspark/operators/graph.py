@@ -95,8 +95,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _sums(state, heads, starts, near):
+    return heads, np.add.reduceat(state[near], starts)
+
+
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """(vertex, score): start 1/n, the mass of vertices without out-edges spread evenly, multi-edges weigh, no early stop."""
+    edges = stored(edges.select("src", "dst"))
+    nodes = packed.nodes_of(edges)
+    n = nodes.count()
+    if not n or n > MOST_SENT:
+        return _joined_pagerank(edges, iterations, damping)
+    rows, deg, score = packed.packed(edges, nodes, "out"), np.zeros(n), np.full(n, 1.0 / n)
+    ids, out = packed.columns(nodes.where("deg > 0").select("id", "deg"))
+    deg[ids] = out
+    for _ in range(iterations):
+        got = np.zeros(n)
+        ids, sums = packed.heard(rows, score / np.maximum(deg, 1), _sums, "id int, got double")
+        np.add.at(got, ids, sums)
+        score = (1 - damping) / n + damping * (got + score[deg == 0].sum() / n)
+    return packed.with_state(nodes, score, "double").withColumnRenamed("value", "score")
+
+
+def _joined_pagerank(edges: DataFrame, iterations: int, damping: float) -> DataFrame:
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
     weighted = stored(edges.groupBy("src", "dst").agg(F.count("*").alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("deg")).alias("share")))
     nodes = stored(vertices(edges).join(out.select(F.col("src").alias("vertex"), F.lit(True).alias("has_out")), "vertex", "left"))
