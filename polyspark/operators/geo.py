@@ -10,7 +10,8 @@ import math
 import re
 import struct
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,21 +116,42 @@ def from_wkb(raw: bytes):
         return None
 
 
-def _row(g):
-    return None if g is None else {"srid": g[0], "kind": g[1], "rings": [[dict(zip("xyzt", p)) for p in r] for r in g[2]]}
+ARROW_POINT = pa.struct([(c, pa.float64()) for c in "xyzt"])
 
 
-def _rings(g):
-    return [[(p["x"], p["y"], p["z"], p["t"]) for p in r] for r in g["rings"]]
+def _to_arrow(rows: list) -> pa.Array:
+    """Geometries (srid, kind, rings) as one struct array, by columns; None gives null fields."""
+    rings_at, points_at, points = [0], [0], []
+    for g in rows:
+        for r in g[2] if g else ():
+            points += r
+            points_at.append(len(points))
+        rings_at.append(len(points_at) - 1)
+    axes = list(zip(*points)) if points else [[]] * 4
+    flat = pa.StructArray.from_arrays([pa.array(v, pa.float64()) for v in axes], fields=list(ARROW_POINT))
+    inner = pa.ListArray.from_arrays(pa.array(points_at, pa.int32()), flat)
+    outer = pa.ListArray.from_arrays(pa.array(rings_at, pa.int32()), inner, mask=pa.array([g is None for g in rows]))
+    return pa.StructArray.from_arrays([pa.array([g and g[0] for g in rows], pa.int32()), pa.array([g and g[1] for g in rows], pa.string()), outer], ["srid", "kind", "rings"])
 
 
-def _parsed(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_row(parse_wkt(t)) or {"srid": None, "kind": None, "rings": None} for t in text], columns=["srid", "kind", "rings"])
+def _from_arrow(column: pa.Array) -> list:
+    """(srid, kind, rings) of each row, None where the geometry or its kind is null."""
+    srid, kind, outer = (pa.compute.struct_field(column, [k]) for k in range(3))
+    inner = outer.values
+    points = inner.values
+    at, ring_at = (c.offsets.to_pylist() for c in (outer, inner))
+    flat = list(zip(*(points.field(c).to_pylist() for c in "xyzt")))
+    rows = zip(srid.to_pylist(), kind.to_pylist(), outer.is_null().to_pylist(), at, at[1:])
+    return [None if k is None or gone else (s, k, [flat[ring_at[i] : ring_at[i + 1]] for i in range(lo, hi)]) for s, k, gone, lo, hi in rows]
+
+
+def _parsed(text: pa.Array) -> pa.Array:
+    return _to_arrow([parse_wkt(t) for t in text.to_pylist()])
 
 
 def st_parse(text) -> Column:
     """The parsed geometry of (E)WKT; its fields are null for what is no point, line or polygon."""
-    return F.pandas_udf(_parsed, GEOMETRY)(_c(text))
+    return F.arrow_udf(_parsed, GEOMETRY)(_c(text))
 
 
 def st_literal(text: str) -> Column:
@@ -145,14 +167,19 @@ def st_literal(text: str) -> Column:
 
 def st_from_wkb(hexed) -> Column:
     """The parsed geometry of (E)WKB in hex text."""
-    return F.udf(lambda h: _row(from_wkb(bytes.fromhex(h))) if h else None, GEOMETRY, useArrow=True)(_c(hexed))
+    def run(column: pa.Array) -> pa.Array:
+        rows = [from_wkb(bytes.fromhex(h)) if h else None for h in column.to_pylist()]
+        out = _to_arrow(rows)
+        return pa.StructArray.from_arrays([out.field(k) for k in range(3)], fields=list(out.type), mask=pa.array([g is None for g in rows]))
+
+    return F.arrow_udf(run, GEOMETRY)(_c(hexed))
 
 
 def _printer(f):
-    def run(g):
-        return None if g is None or g["kind"] is None else f(g["srid"], g["kind"], _rings(g))
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if g is None else f(*g) for g in _from_arrow(column)], pa.string())
 
-    return lambda g: F.udf(run, "string", useArrow=True)(_c(g))
+    return lambda g: F.arrow_udf(run, "string")(_c(g))
 
 
 st_as_text = _printer(lambda s, k, r: print_wkt(s, k, r))

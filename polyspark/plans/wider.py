@@ -239,9 +239,14 @@ def pipeline_literal_id(spark, d):
 # ---------------------------------------------------------------- geometry
 
 
+def _spread(rows, key):
+    """Dealt by key: a small file is one input split, and forms are made row by row in Python."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def st_forms(spark, d):
     """Text, EWKT and binary forms of points with z and m."""
-    c = _places(spark, d, "customer", "c_custkey")
+    c = _spread(_places(spark, d, "customer", "c_custkey"), "c_custkey")
     x, y, k = F.col("c_custkey_x"), F.col("c_custkey_y"), F.col("c_custkey")
     flat, zm, m = geo.st_point(x, y, srid=4326), geo.st_point(x, y, k, k + 1), geo.st_parse(F.concat(F.lit("POINT M("), x.cast("int").cast("string"), F.lit(" "), y.cast("int").cast("string"), F.lit(" 5)")))
     rows = c.select("c_custkey", flat.alias("f"), zm.alias("z"), m.alias("m"))
@@ -253,7 +258,7 @@ def st_forms(spark, d):
 
 
 def st_shapes(spark, d):
-    c = _places(spark, d, "supplier", "s_suppkey")
+    c = _spread(_places(spark, d, "supplier", "s_suppkey"), "s_suppkey")
     x, y = (F.col(f"s_suppkey_{a}").cast("int").cast("string") for a in "xy")
     line = geo.st_parse(F.concat(F.lit("LINESTRING("), x, F.lit(" "), y, F.lit(", 200 100)")))
     rows = c.select("s_suppkey", F.col("s_suppkey_x").alias("x"), F.col("s_suppkey_y").alias("y"), line.alias("l"))

@@ -27,3 +27,16 @@ def test_hot_cells_are_cut_into_pieces(spark, monkeypatch):
     assert sorted((r.k, r.m) for r in hit.select("k", "m").collect()) == [(k, k) for k in range(0, 200, 2)]
     sizes = geo.dealt_join(a.withColumn("c", F.lit(1)), b.withColumn("c", F.lit(1)), ["c"])
     assert sizes.count() == 40_000 and sizes.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 20_000
+
+
+def test_geometry_forms_by_columns(spark):
+    texts = ["POINT(1 2)", "SRID=4326;POINT ZM(1 2 3 4)", "POINT M(1 2 5)", "LINESTRING(0 0, 1.5 1)", "POLYGON((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))", "POINT EMPTY", "CIRCLE(1)", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(1)
+    g = rows.select("k", "t", geo.st_parse("t").alias("g")).select("k", "g", geo.st_as_ewkt("g").alias("e"), geo.st_as_ewkb("g").alias("b"))
+    got = {r.k: r for r in g.select("*", geo.st_as_ewkt(geo.st_from_wkb("b")).alias("back")).collect()}
+    for k, t in enumerate(texts):
+        want = geo.parse_wkt(t)
+        assert got[k].e == (want and geo.print_wkt(*want, True)) and got[k].b == (want and geo.to_wkb(*want, True).hex())
+        assert got[k].back == got[k].e and got[k].g.kind == (want and want[1])
+    plan = g._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan
