@@ -40,8 +40,42 @@ def neighbors(edges: DataFrame, vertex, direction: str = "out") -> DataFrame:
     return directed(edges, direction).where(F.col("src") == F.lit(vertex)).select(F.col("dst").alias("neighbor"), *(c for c in edges.columns if c == "rel"))
 
 
+def _reached(state, heads, starts, near):
+    """(id, before): who is not seen yet (0) but beside the front (2), with the smallest such neighbour."""
+    before = np.minimum.reduceat(np.where(state[near] == 2, near, np.iinfo(np.int32).max), starts)
+    new = (before < np.iinfo(np.int32).max) & (state[heads] == 0)
+    return heads[new], before[new]
+
+
+def _walk(rows: DataFrame, start: int, size: int, most: int, until: int = -1):
+    """(depth, before) of each vertex number, -1 where none: a round for each step."""
+    state, depth, before = np.zeros(size, np.int8), np.full(size, -1, np.int32), np.full(size, np.iinfo(np.int32).max, np.int32)
+    state[start], depth[start] = 2, 0
+    for d in range(1, most + 1):
+        if until >= 0 and depth[until] >= 0:
+            break
+        ids, least = packed.heard(rows, state, _reached, "id int, before int")
+        if not len(ids):
+            break
+        np.minimum.at(before, ids, least)
+        state = np.where(state == 2, np.int8(1), state)
+        state[ids], depth[ids] = 2, d
+    return depth, before
+
+
 def bfs(edges: DataFrame, start, depth: int = 10, direction: str = "out") -> DataFrame:
     """(vertex, depth) of everything within ``depth`` steps; an unknown start gives no rows."""
+    edges = stored(edges.select("src", "dst"))
+    nodes = packed.nodes_of(edges)
+    size = nodes.count()
+    if size > MOST_SENT or not nodes.where("vertex is null").isEmpty():  # a null end is reached, which packed edges leave out
+        return _joined_bfs(edges, start, depth, direction)
+    rows, first = packed.packed(edges, nodes, direction), nodes.where(F.col("vertex") == F.lit(start)).first()
+    found = _walk(rows, first.id, size, depth)[0] if first else np.full(size, -1, np.int32)
+    return packed.with_state(nodes, found, "int").where("value >= 0").withColumnRenamed("value", "depth")
+
+
+def _joined_bfs(edges: DataFrame, start, depth: int, direction: str) -> DataFrame:
     step = directed(edges, direction).select("src", "dst").distinct()
     kind = edges.schema["src"].dataType
     front = stored(vertices(edges).where(F.col("vertex") == F.lit(start)).select(F.col("vertex").cast(kind), F.lit(0).alias("depth")))
@@ -57,6 +91,25 @@ def bfs(edges: DataFrame, start, depth: int = 10, direction: str = "out") -> Dat
 
 def shortest_path(edges: DataFrame, a, b, direction: str = "both", most: int = 1000) -> DataFrame:
     """(step, vertex) along one shortest path, the one with the smallest predecessors; no rows if there is none."""
+    edges = stored(edges.select("src", "dst"))
+    nodes = packed.nodes_of(edges)
+    size = nodes.count()
+    if size > MOST_SENT:
+        return _joined_path(edges, a, b, direction, most)
+    rows, ends = packed.packed(edges, nodes, direction), [nodes.where(F.col("vertex") == F.lit(v)).first() for v in (a, b)]
+    path = []
+    if all(ends):
+        depth, before = _walk(rows, ends[0].id, size, most, ends[1].id)
+        if depth[ends[1].id] >= 0:
+            path = [ends[1].id]
+            while depth[path[-1]]:
+                path.append(int(before[path[-1]]))
+    schema = nodes.limit(0).select(F.lit(0).alias("step"), F.col("id").alias("at")).schema
+    steps = edges.sparkSession.createDataFrame(list(enumerate(reversed(path))), schema)
+    return nodes.join(F.broadcast(steps), F.col("id") == F.col("at")).select("step", "vertex")
+
+
+def _joined_path(edges: DataFrame, a, b, direction: str, most: int) -> DataFrame:
     step = directed(edges, direction).select("src", "dst").distinct()
     empty = vertices(edges).limit(0).select(F.lit(0).alias("step"), "vertex")
     if vertices(edges).where(F.col("vertex").isin(a, b)).select("vertex").distinct().count() < len({a, b}):
@@ -80,8 +133,33 @@ def shortest_path(edges: DataFrame, a, b, direction: str = "both", most: int = 1
     return edges.sparkSession.createDataFrame(rows, empty.schema)
 
 
+def _least(state, heads, starts, near):
+    """The smallest number heard, where it is smaller than one's own."""
+    least = np.minimum.reduceat(state[near], starts)
+    new = least < state[heads]
+    return heads[new], least[new]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(vertex, component): weak components, named by their smallest vertex; minimum labels with pointer jumping."""
+    edges = stored(edges.select("src", "dst"))
+    nodes = packed.nodes_of(edges)
+    size = nodes.count()
+    if size > MOST_SENT:
+        return _joined_components(edges)
+    rows, label = packed.packed(edges, nodes, "both"), np.arange(size, dtype=np.int32)
+    while True:
+        ids, least = packed.heard(rows, label, _least, "id int, least int")
+        if not len(ids):
+            return packed.named(nodes, label, "component")
+        old, label = label, label.copy()
+        np.minimum.at(label, ids, least)
+        np.minimum.at(label, old[ids], least)  # what named the vertex so far is in the component too
+        while not np.array_equal(up := label[label], label):
+            label = up
+
+
+def _joined_components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
     label = stored(vertices(edges).select("vertex", F.col("vertex").alias("component")))
     while True:
