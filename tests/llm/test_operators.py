@@ -156,6 +156,62 @@ def test_jaccard_families(spark, monkeypatch):
     assert by_id(ngram_jaccard.jaccard_classes(df), "n_shingles", "component_id") == want
 
 
+def test_jaccard_sketches():
+    """Sketches never say that sets differ by more than they do, at equal and at folded lengths, and tell random sets apart."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 2, 60, 64, 65, 90, 128, 129, 500, 513, 700, 5000):
+        own = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets += [np.unique(own), np.unique(np.concatenate([own[n // 8 :], rng.integers(0, 2**64, n // 8, dtype=np.uint64)]))]
+    drawn = ngram_jaccard.Sketches([ngram_jaccard.sketch(s) for s in sets])
+    i, j = (v.ravel() for v in np.indices((len(sets), len(sets))))
+    for a, b, bits in zip(i.tolist(), j.tolist(), drawn.apart(i, j).tolist()):
+        apart = len(np.setxor1d(sets[a], sets[b]))
+        assert bits <= apart and (apart - bits) % 2 == 0
+        n, m = sorted((len(sets[a]), len(sets[b])))
+        if a // 2 != b // 2 and n >= 60 and 4 * n >= 3 * m:
+            assert 7 * bits > n + m
+
+
+def test_jaccard_shared_passages(spark, monkeypatch):
+    """Documents that share rare passages but cannot be links form no family, and of the texts only wanted ones are passed on."""
+    passage = " ".join(f"p{k}" for k in range(15))
+    rows = [(k, passage + " " + " ".join(f"d{k}w{j}" for j in range(40))) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+
+    def no_family(*_):
+        raise AssertionError("no pair is open")
+
+    monkeypatch.setattr(ngram_jaccard, "_family", no_family)
+    assert by_id(ngram_jaccard.jaccard_classes(df), "n_shingles", "component_id") == {k: (51, k) for k, _ in rows}
+    ids = spark.createDataFrame([(3,), (17,), (17,), (99,)], "id long")
+    out = ngram_jaccard._texts(df.toDF("id", "text"), ids)
+    assert sorted(r[0] for r in out.collect()) == [3, 17]
+
+
+def test_jaccard_rounds(spark, monkeypatch):
+    """A family that is too large for a task goes by rounds, and components that the nearest pairs do not join get all pairs."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        w = base[: 75 + k % 3 * 30]
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    rounds, plain = [], ngram_jaccard._cross
+
+    def counted(num, den, most):
+        rounds.append(most)
+        return plain(num, den, most)
+
+    monkeypatch.setattr(ngram_jaccard, "MOST_FAMILY", 3)
+    monkeypatch.setattr(ngram_jaccard, "_cross", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_id(ngram_jaccard.jaccard_classes(df), "n_shingles", "component_id") == brute.jaccard(rows)
+    assert rounds[:2] == [1, ngram_jaccard.WIDER]
+
+
 def test_licenses(spark, texts):
     rows = texts + [(950, "Released under the MIT License."), (951, "x CC BY-NC 4.0, see GNU General Public License! mit license"), (952, "Permission is hereby granted, free of charge"), (953, "licensed under the Apache License, Version 2.0")]
     out = license_scan.scan_licenses(frame(spark, rows))
