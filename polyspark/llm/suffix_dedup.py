@@ -9,9 +9,10 @@ stand. The windows of one anchor occurrence make a context, one stretch of bytes
    document has end here, and with them all text that occurs once.
 2. Contexts of the remaining anchors go to buckets by anchor. Equal contexts within a pack are settled on the spot, so
    of a group of copies each pack sends one.
-3. Each bucket numbers the documents of an anchor and pairs neighbouring ranges of them, of 1, 2, 4, ... documents. The lower
-   ranges go into a run-compressed Burrows-Wheeler index with the text positions at run ends sampled; the contexts of the
-   upper ranges stream their matching statistics over its runs, and every place with LENGTH or more is marked.
+3. Each bucket rules out contexts that share too little around their anchor to have a window in common, numbers the documents
+   of an anchor and pairs neighbouring ranges of them, of 1, 2, 4, ... documents. The lower ranges go into a run-compressed
+   Burrows-Wheeler index with the text positions at run ends sampled; the contexts of the upper ranges stream their matching
+   statistics over its runs, and every place with LENGTH or more is marked. Marked ends of contexts stay out of wider ranges.
 
 Marks return to their packs, where spans are united and cut out.
 
@@ -41,6 +42,9 @@ PACK_BYTES = 4 << 20
 SCAN_BYTES = 256 << 10
 #: Bytes of contexts in one index (more only where one anchor has more).
 INDEX_BYTES = 2 << 20
+#: Kinds of windows, by the place of their anchor, whose common bytes are compared before the index; an anchor of more
+#: than HOT distinct contexts has as many kinds as windows.
+CORES, HOT = 3, 32
 #: Packs for each bucket, and the most buckets.
 PACKS_A_BUCKET, MOST_BUCKETS = 3, 4096
 
@@ -116,6 +120,16 @@ def _strings(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.
     return out, start
 
 
+def _by(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(at, key) by key, then at; as one sort of single numbers where both fit into them."""
+    bits = int(at.max(initial=0)).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits < 64:
+        both = np.sort(key << bits | at)
+        return both & (1 << bits) - 1, both >> bits
+    order = np.lexsort((at, key))
+    return at[order], key[order]
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of strings in groups, with the text positions at the ends of every run.
 
@@ -131,7 +145,7 @@ class RunLengthIndex:
         n = len(string)
         self.left = np.repeat(start + size, size + 1) - np.arange(n)
         of = group[string]
-        sa = np.argsort(of << 32 | self._ranks(int(size.max(initial=0))), kind="stable")
+        sa, _ = _by(of << n.bit_length() | self._ranks(int(size.max(initial=0))), np.arange(n))
         before = np.where(sa > start[string[sa]], self.text[sa - 1].astype(np.int64) + 1, 0)
         symbol = of[sa] * 257 + before
         head, end = tk.runs(symbol)
@@ -142,21 +156,31 @@ class RunLengthIndex:
         self.step = np.cumsum(length) - length
         self.key = self.symbol * (n + 1) + self.first
         self.top = sa[0]
+        # The run that each row lies in, so that a step within a run needs no search.
+        run = np.empty(len(by), np.int32)
+        run[by] = np.arange(len(by), dtype=np.int32)
+        self.run = np.repeat(run, end - head)
 
     def _ranks(self, longest: int) -> np.ndarray:
-        """Order of all suffixes up to their terminators, by doubling from 7 bytes."""
+        """Order of all suffixes up to their terminators, by doubling; a rank that no other suffix has stays."""
         n, left = len(self.left), self.left
-        inside = np.minimum(left, 7).astype(tk.U)
-        mask = ~(~tk.U(0) >> (inside * tk.U(8)))
-        _, rank = np.unique(self.words[:n] & mask | inside, return_inverse=True)
-        width = 7
-        while width < longest:
-            ahead = np.zeros(n, np.int64)
-            ahead[:-width] = rank[width:] + 1
-            ahead[left < width] = 0
-            _, rank = np.unique(rank.astype(np.int64) << 32 | ahead, return_inverse=True)
+        bits = n.bit_length()
+        width = max((60 - bits) // 8, 1)
+        inside = np.minimum(left, width)
+        room = (8 * (width - inside)).astype(tk.U)
+        word = (self.words[:n] >> tk.U(64 - 8 * width) >> room << room).astype(np.int64)
+        at, key = _by(word << 3 | inside, np.arange(n))
+        old, rank = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        while True:
+            a, b = tk.runs(key)
+            c, d = tk.runs(old)
+            rank[at] = old + np.repeat(a, b - a) - np.repeat(c, d - c)
+            at = at[np.repeat(b - a > 1, b - a) & (left[at] >= width)]
+            if width >= longest or not len(at):
+                return rank
+            at, key = _by(rank[at] << bits | rank[at + width], at)
+            old = key >> bits
             width *= 2
-        return rank
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes the suffixes at a and b share, ``most`` at most; the suffix at a has ``most``."""
@@ -186,17 +210,18 @@ class RunLengthIndex:
         for place in range(int(size.max(initial=0)) - 1, -1, -1):
             n = int(np.searchsorted(reach, -place))
             want = base[:n] + text[first[:n] + place]
-            k = np.searchsorted(self.key, want * (self.rows + 1) + row[:n], "right") - 1
-            r = np.maximum(k, 0)
-            above = (k >= 0) & (self.symbol[r] == want)
-            p = np.flatnonzero(~(above & (row[:n] < self.end[r])))
+            r = self.run[row[:n]]
+            p = np.flatnonzero(self.symbol[r] != want)
+            if len(p):
+                k = np.searchsorted(self.key, want[p] * (self.rows + 1) + row[p], "right") - 1
             row[:n] += self.step[r] - self.first[r]
             at[:n] -= 1
             if len(p):
-                up, down, match = r[p], np.minimum(k[p] + 1, last), long[p]
-                has_down = (k[p] < last) & (self.symbol[down] == want[p])
-                n_up, n_down = np.where(above[p], 0, -1), np.where(has_down, 0, -1)
-                q = np.flatnonzero(above[p] & (match > 0))
+                up, down, match = np.maximum(k, 0), np.minimum(k + 1, last), long[p]
+                above = (k >= 0) & (self.symbol[up] == want[p])
+                has_down = (k < last) & (self.symbol[down] == want[p])
+                n_up, n_down = np.where(above, 0, -1), np.where(has_down, 0, -1)
+                q = np.flatnonzero(above & (match > 0))
                 n_up[q] = self._common(at[p[q]] + 1, self.end_sample[up[q]], match[q])
                 q = np.flatnonzero(has_down & (match > np.maximum(n_up, 0)))
                 n_down[q] = self._common(at[p[q]] + 1, self.head_sample[down[q]], match[q])
@@ -213,7 +238,8 @@ def earlier_matches(text: np.ndarray, first: np.ndarray, size: np.ndarray, doc:
     """(string, place), sorted: where ``length`` bytes start that also stand in a string of the same key and a smaller document.
 
     Documents of a key are numbered, and pairs of neighbouring ranges of 1, 2, 4, ... of them give a group each: the lower
-    range is indexed and the upper one streamed against it. Any two documents of a key meet in exactly one group.
+    range is indexed and the upper one streamed against it. Any two documents of a key meet in exactly one group. Windows that
+    were found are left out of later groups at the ends of their strings: the first document that has them stays in.
     """
     order = np.lexsort((doc, key))
     new = np.ones(len(key), bool)
@@ -223,21 +249,58 @@ def earlier_matches(text: np.ndarray, first: np.ndarray, size: np.ndarray, doc:
     rank, of = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
     rank[order] = number - np.repeat(number[a], b - a)
     of[order] = np.repeat(np.arange(len(a)), b - a)
-    strings, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    windows = np.maximum(size - length + 1, 0)
+    base, string = np.cumsum(windows) - windows, np.repeat(np.arange(len(size)), windows)
+    found = np.zeros(len(string), bool)
     for level in range(int(rank.max(initial=0)).bit_length()):
-        group = of * (rank.max() + 1) + (rank >> (level + 1))
-        upper = (rank >> level) & 1 == 1
-        _, group = np.unique(group, return_inverse=True)
-        paired = np.zeros(len(group), bool)
+        left = np.flatnonzero(~found)
+        a, b = tk.runs(string[left])
+        k = string[left[a]]
+        shift = left[a] - base[k]
+        start, bytes_left = first[k] + shift, left[b - 1] - left[a] + length
+        upper = (rank[k] >> level) & 1 == 1
+        _, group = np.unique(of[k] * (rank.max() + 1) + (rank[k] >> (level + 1)), return_inverse=True)
+        lower, paired = np.zeros(group.max(initial=-1) + 1, bool), np.zeros(group.max(initial=-1) + 1, bool)
+        lower[group[~upper]] = True
         paired[group[upper]] = True
-        low, up = np.flatnonzero(~upper & paired[group]), np.flatnonzero(upper)
-        index = RunLengthIndex(text, first[low], size[low], group[low])
-        for place, live, long in index.matching_statistics(text, first[up], size[up], group[up]):
-            full = up[live[long >= length]]
-            strings.append(full)
-            places.append(np.full(len(full), place))
-    pairs = np.unique(np.concatenate(strings) << 32 | np.concatenate(places))
-    return pairs >> 32, pairs & 0xFFFFFFFF
+        at, both = base[k] + shift, lower & paired
+        # Groups of a level that are far larger than an index should be go one stretch after another.
+        stretch = (np.cumsum(np.where(both, np.bincount(group, bytes_left), 0)) // (2 * INDEX_BYTES)).astype(np.int64)[group]
+        for s in np.unique(stretch[both[group]]):
+            here = both[group] & (stretch == s)
+            low, up = np.flatnonzero(here & ~upper), np.flatnonzero(here & upper)
+            index = RunLengthIndex(text, start[low], bytes_left[low], group[low])
+            for place, live, long in index.matching_statistics(text, start[up], bytes_left[up], group[up]):
+                found[at[up[live[long >= length]]] + place] = True
+    here = np.flatnonzero(found)
+    return string[here], here - base[string[here]]
+
+
+def shared_windows(text: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, key: np.ndarray, doc: np.ndarray, cores: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, window, windows): contexts that may share a window with another document, from the first such window to the last.
+
+    Equal windows hold their anchor at equal places, so windows with i to j bytes before it are equal only if the bytes that
+    all of these hold, the core, are. A window is ruled out if no other document has its core; equal hashes rule none out.
+    The places are dealt to ``cores`` ranges i to j.
+    """
+    x = tk.loads(np.concatenate([text, np.zeros(8, np.uint8)]))
+    low, high = np.full(len(key), LENGTH), np.full(len(key), -1)
+    for cut in np.array_split(np.arange(LENGTH - ANCHOR + 1), cores):
+        i, j = int(cut[0]), int(cut[-1])
+        k = np.flatnonzero((anchor >= i) & (anchor - count < j))
+        size, at = LENGTH - (j - i), first[k] + anchor[k] - i
+        core = key[k].copy()
+        for n, o in enumerate([*range(0, size - 8, 8), size - 8]):
+            core += tk.mix(x[at + o] * tk.SLOT[24 + n])
+        order = np.argsort(core)
+        a, b = tk.runs(core[order])
+        who = doc[k][order]
+        several = np.minimum.reduceat(who, a) < np.maximum.reduceat(who, a) if len(a) else np.zeros(0, bool)
+        k = k[order[np.repeat(several, b - a)]]
+        low[k] = np.minimum(low[k], np.maximum(anchor[k] - j, 0))
+        high[k] = np.maximum(high[k], np.minimum(anchor[k] - i, count[k] - 1))
+    k = np.flatnonzero(high >= 0)
+    return k, low[k], high[k] - low[k] + 1
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +491,18 @@ def _mark(table: pa.Table) -> pa.Table:
     for part in _slices(key[rep], size[order[rep]]):
         own = rep[part]
         src = order[own]
-        o, at = earlier_matches(text, first[src], size[src], ident[own], key[own], LENGTH)
+        own_text = text[tk.spread(first[src], size[src])]
+        start, windows, before = np.cumsum(size[src]) - size[src], count[src].astype(np.int64), anchor[src].astype(np.int64)
+        a, b = tk.runs(key[own])
+        hot = np.repeat(b - a > HOT, b - a)
+        kept = []
+        for pick, cores in ((np.flatnonzero(~hot), CORES), (np.flatnonzero(hot), LENGTH - ANCHOR + 1)):
+            k, shift, n = shared_windows(own_text, start[pick], windows[pick], before[pick], key[own][pick], ident[own][pick], cores)
+            kept.append((pick[k], shift, n))
+        k, shift, n = (np.concatenate(x) for x in zip(*kept))
+        own = own[k]
+        o, at = earlier_matches(own_text, start[k] + shift, n + LENGTH - 1, ident[own], key[own], LENGTH)
+        at += shift[o]
         if not len(at):
             continue
         cut = np.flatnonzero((at[1:] != at[:-1] + 1) | (o[1:] != o[:-1])) + 1

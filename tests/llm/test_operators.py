@@ -109,6 +109,48 @@ def test_earlier_matches():
         assert list(zip(*(x.tolist() for x in got))) == want
 
 
+def test_index_gets_only_what_may_match(monkeypatch):
+    """Contexts that share too little are ruled out without loss, and found windows are not indexed again level by level."""
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    shared = [word(n) for n in (16, 30, 45, 50, 51, 60, 84, 120)]
+    docs = [b"".join(word(rng.randint(0, 70)) + rng.choice(shared) for _ in range(6)) for _ in range(60)]
+    size = np.array([len(t) for t in docs])
+    buf, off = np.frombuffer(b"".join(docs), np.uint8), np.concatenate([[0], np.cumsum(size)])
+    c = suffix_dedup.Contexts(buf, off)
+    first, count = c.p0, c.p1 - c.p0 + 1
+    own = [[bytes(buf[first[x] + p : first[x] + p + 50]) for p in range(count[x])] for x in range(len(first))]
+    holders = {}
+    for x, windows in enumerate(own):
+        for w in windows:
+            holders.setdefault(w, set()).add(c.doc[x])
+    _, of = np.unique(c.key, return_inverse=True)
+    several, kept = (np.bincount(of)[of] > 1).sum(), []
+    for cores in (3, 35):
+        found = suffix_dedup.shared_windows(buf, first, count, c.q - c.p0, c.key, c.doc, cores)
+        reach = {x: (a, a + m) for x, a, m in zip(*(v.tolist() for v in found))}
+        for x, windows in enumerate(own):
+            hit = [p for p, w in enumerate(windows) if len(holders[w]) > 1]
+            assert not hit or reach[x][0] <= hit[0] and hit[-1] < reach[x][1]
+        kept.append(len(reach))
+    assert kept[1] <= kept[0] < several
+
+    rows = []
+
+    class Counted(suffix_dedup.RunLengthIndex):
+        def __init__(self, *a):
+            super().__init__(*a)
+            rows.append(self.rows)
+
+    monkeypatch.setattr(suffix_dedup, "RunLengthIndex", Counted)
+    base = word(84)
+    texts = [base[a : a + 60] for a in range(3)] * 88
+    size = np.array([len(t) for t in texts])
+    string, _ = suffix_dedup.earlier_matches(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size, np.arange(len(texts)), np.zeros(len(texts), np.int64), 50)
+    assert np.bincount(string, minlength=len(texts)).tolist() == [0, 10, 10] + [11] * (len(texts) - 3)
+    assert sum(rows) < 2 * size.sum()
+
+
 def test_matching_statistics():
     """Streamed lengths equal those by substring tests, group by group, over fewer runs than rows."""
     rng = random.Random(6)
