@@ -217,9 +217,10 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     neighbours are intersected where they lie in blocks, so pairs of neighbours are never written."""
     edges = stored(edges.select("src", "dst"))
     nodes = packed.nodes_of(edges, ("n", "vertex"))
-    if nodes.count() >= 1 << 31:
+    size = nodes.count()
+    if size >= 1 << 31:
         raise ValueError("vertex numbers of 32 bits do not suffice")
-    lists = packed.later_lists(edges, nodes)
+    lists = packed.later_lists(edges, nodes, size <= MOST_SENT)
     n = lists.agg(F.sum(F.octet_length("near") / 4)).first()[0]
     count = packed.triangles(lists, int(n or 0)).groupBy("id").agg(F.sum("n").alias("triangles"))
     return nodes.join(count, "id", "left").select("vertex", F.coalesce("triangles", F.lit(0)).alias("triangles"))
